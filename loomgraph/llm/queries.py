@@ -25,9 +25,29 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as WAV files; half of them are declared as PNG, by their content, which sniffing corrects."""
+    from loomgraph.llm.media import media_digests, store_texts
+
+    stored = store_texts(table(spark, sf_dir, "documents"), "audio/wav")
+    declared = F.when(F.crc32("media") % 2 == 0, "audio/wav").otherwise("image/png")
+    return media_digests(stored.withColumn("declared", declared))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.secrets import KINDS, scan_documents
+
+    found = scan_documents(table(spark, sf_dir, "documents"))
+    line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pattern_packing": op1_pattern_packing,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_media_sniff": op7_media_sniff,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {}
