@@ -17,7 +17,9 @@ once each. Extra columns of the input are ignored. An empty table gives an empty
 from __future__ import annotations
 
 import functools
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +37,30 @@ FILLER_PART = 16
 _RANK_BITS = 44
 
 
+def visible_bytes() -> dict[int, int]:
+    """The characters that byte-level vocabularies show bytes as: printable ones as they are, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 @functools.lru_cache(2)
 def _tokenizer(path: str):
     """text -> ids as little-endian unsigned 32-bit integers."""
     tok = Tokenizer.from_file(path)
     specials = [t.content for t in tok.get_added_tokens_decoder().values()]
-    as_bytes = lambda ids: np.array(ids, "<u4").tobytes()
+    as_bytes = lambda ids: array("I", ids).tobytes()
+    assert array("I").itemsize == 4 and sys.byteorder == "little"
     # Byte-level pieces are independent of each other, so their ids can be kept.
     piecewise = type(tok.pre_tokenizer).__name__ == "ByteLevel" and tok.normalizer is None and not tok.pre_tokenizer.add_prefix_space
+    merge, visible = tok.model.tokenize, visible_bytes()
 
     class Pieces(dict):
         def __missing__(self, piece: str) -> bytes:
             if len(self) >= CACHE_PIECES:
                 self.clear()
-            found = self[piece] = as_bytes(tok.encode(piece, add_special_tokens=False).ids)
+            shown = piece.encode().decode("latin-1").translate(visible)
+            found = self[piece] = as_bytes([t.id for t in merge(shown)])
             return found
 
     known, split, odd = Pieces(), _PLAIN.findall, _ODD.search
