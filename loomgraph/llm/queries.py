@@ -18,6 +18,12 @@ def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, numerator=85, denominator=100)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.bpe import encode_digests
 
@@ -46,6 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pattern_packing": op1_pattern_packing,
+    "op5_minmax_dedup": op5_minmax_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_media_sniff": op7_media_sniff,
     "op10_secret_scan": op10_secret_scan,
