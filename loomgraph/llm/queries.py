@@ -18,6 +18,15 @@ def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.langid import hash_fold, identify, sample_labelled, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(*sample_labelled(docs, hash_fold(F.col("doc_id")) != 1))
+    found = identify(docs, model)
+    return found.select("doc_id", (hash_fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.minhash import near_duplicates
 
@@ -52,6 +61,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pattern_packing": op1_pattern_packing,
+    "op2_language_id": op2_language_id,
     "op5_minmax_dedup": op5_minmax_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_media_sniff": op7_media_sniff,
