@@ -49,6 +49,12 @@ def op7_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(stored.withColumn("declared", declared))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.multi_index import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.secrets import KINDS, scan_documents
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minmax_dedup": op5_minmax_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_media_sniff": op7_media_sniff,
+    "op8_multi_index": op8_multi_index,
     "op10_secret_scan": op10_secret_scan,
 }
 
