@@ -30,14 +30,15 @@ def star_components(edges: DataFrame, workspace: Workspace, max_rounds: int = 60
     with a null end are no edges, and no edges give no rows. Ends when a round changes nothing.
     """
     current = workspace.save(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
+        "uncompressed",
     )
     before = None
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = workspace.save(_toward_minimum(both, True).where("u <> v").distinct())
+        large = workspace.save(_toward_minimum(both, True).where("u <> v").distinct(), "uncompressed")
         small = _toward_minimum(large, False).where("u <> v")
-        following = workspace.save(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        following = workspace.save(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "uncompressed")
         workspace.drop(current, large)
         current = following
         # The multiset of edges is fixed exactly when every vertex points at its component's minimum.
@@ -52,4 +53,4 @@ def star_components(edges: DataFrame, workspace: Workspace, max_rounds: int = 60
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = current.select(F.col("u").alias("v"), F.col("v").alias("component"))
     roots = members.select("component").distinct().select(F.col("component").alias("v"), "component")
-    return workspace.save(members.unionByName(roots))
+    return workspace.save(members.unionByName(roots), "uncompressed")

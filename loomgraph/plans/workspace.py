@@ -31,11 +31,15 @@ class Workspace:
         self.root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and return the written table."""
+    def save(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
+        """Write ``df`` once and return the written table.
+
+        Narrow tables that loops write again and again go "uncompressed": codecs take direct memory for
+        each file, which a JVM with room on its heap is slow to give back.
+        """
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._loom_path = path
         return out
