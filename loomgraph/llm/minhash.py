@@ -22,7 +22,6 @@ from __future__ import annotations
 
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -36,7 +35,7 @@ MISS = 1e-4
 #: Members of a family that one task compares with as many others, and their shingles.
 BLOCK = 256
 BLOCK_SHINGLES = 2_000_000
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 150_000
 _U64 = np.uint64
 
 
@@ -208,7 +207,9 @@ def near_duplicates(
         .withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
     )
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(pdf):
+        import pandas as pd  # here, so that the workers that hash do without
+
         pdf = pdf.drop_duplicates(["v", "shingles"])
         forest = linked_forest(
             pdf["v"].to_numpy(), pdf["block"].to_numpy(), [np.frombuffer(s, _U64) for s in pdf["shingles"]], numerator, denominator
