@@ -55,6 +55,12 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op9_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.wrapper import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.secrets import KINDS, scan_documents
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_media_sniff": op7_media_sniff,
     "op8_multi_index": op8_multi_index,
+    "op9_wrapper_text": op9_wrapper_text,
     "op10_secret_scan": op10_secret_scan,
 }
 
