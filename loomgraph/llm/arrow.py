@@ -7,13 +7,16 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 1000
-SLICE_ROWS = 500
+BATCH_ROWS = 500
+READER_ROWS = 512
+SLICE_ROWS = 250
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep a batch of whole texts small: Python workers hold one batch at a time."""
+    """Keep a batch of whole texts small, in Python workers and in the Parquet reader, which holds each
+    column of a batch in one array."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str, arrow: pa.Schema) -> DataFrame:
