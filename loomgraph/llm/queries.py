@@ -27,6 +27,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (hash_fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data, and how many mentions were replaced."""
+    from loomgraph.llm.pii import replace_personal_data
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_personal_data(docs, secret="loomgraph example key", count_col="n_replaced")
+
+
 def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.minhash import near_duplicates
 
@@ -74,6 +82,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pattern_packing": op1_pattern_packing,
     "op2_language_id": op2_language_id,
+    "op3_surrogates": op3_surrogates,
     "op5_minmax_dedup": op5_minmax_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_media_sniff": op7_media_sniff,
