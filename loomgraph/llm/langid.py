@@ -11,7 +11,8 @@ and a share of known subwords), each passed by all but ``FALSE_REJECTS`` of that
 As the model is linear, prediction adds up one row of class scores for each subword of the whole text.
 The table that tasks receive has ``BUCKETS`` rows, however large the corpus.
 
-Null texts, texts without a letter, and all texts if nothing is labelled get ``und``, score 0, rejected.
+Null texts and texts without a letter get ``und``, score 0, rejected. If nothing is labelled, all others get
+``und``, score 0, not rejected.
 Equal texts get equal results. Other columns are never inputs of a prediction.
 """
 
@@ -76,8 +77,10 @@ class Model:
         return total / max(1, len(ids))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not self.languages or not has_letter(text):
+        if not has_letter(text):
             return "und", 0.0, True
+        if not self.languages:
+            return "und", 0.0, False
         mean = self.sums(text)
         z = mean[:-1] / self.temperature
         p = np.exp(z - z.max())
