@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from loomgraph.operators.graph import Graph
 from loomgraph.plans.workspace import Workspace
 
 
@@ -54,3 +55,44 @@ def star_components(edges: DataFrame, workspace: Workspace, max_rounds: int = 60
     members = current.select(F.col("u").alias("v"), F.col("v").alias("component"))
     roots = members.select("component").distinct().select(F.col("component").alias("v"), "component")
     return workspace.save(members.unionByName(roots), "uncompressed")
+
+
+def connected_components(graph: Graph) -> DataFrame:
+    """(v, component) of every vertex: the smallest id that edges in either direction connect it with."""
+    work = Workspace(graph.spark, "components")
+    linked = star_components(graph.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), work)
+    return graph.vertices().join(linked, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
+
+
+def link(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """One step: every vertex takes the least label of its own and its neighbours', either direction."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    offered = both.join(labels, both["src"] == labels["v"]).select(F.col("dst").alias("v"), "component")
+    return labels.unionByName(offered).groupBy("v").agg(F.min("component").alias("component"))
+
+
+def compress(labels: DataFrame) -> DataFrame:
+    """One pointer jump: every vertex takes its label's label."""
+    of = labels.select(F.col("v").alias("component"), F.col("component").alias("next"))
+    return labels.join(of, "component", "left").select("v", F.coalesce("next", "component").alias("component"))
+
+
+def component_sizes(labels: DataFrame) -> DataFrame:
+    return labels.groupBy("component").agg(F.count("*").alias("size"))
+
+
+def top_pairs(pairs: DataFrame, key: str, value: str, k: int) -> DataFrame:
+    """The k largest values, of equal ones the larger keys."""
+    return pairs.orderBy(F.desc(value), F.desc(key)).limit(k)
+
+
+def component_report(labels: DataFrame, k: int = 5) -> DataFrame:
+    """(component, size, components): the k largest, with the number of all."""
+    sizes = component_sizes(labels)
+    count = sizes.agg(F.count("*").alias("components"))
+    return top_pairs(sizes, "component", "size", k).crossJoin(F.broadcast(count))
+
+
+def most_frequent(labels: DataFrame) -> DataFrame:
+    """The label with the most vertices, exactly; of equal ones the smallest."""
+    return component_sizes(labels).orderBy(F.desc("size"), "component").limit(1)
