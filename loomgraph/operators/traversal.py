@@ -16,6 +16,8 @@ from loomgraph.plans.workspace import Workspace
 
 #: A frontier of this part of the vertices or more is expanded from the unvisited side.
 BOTTOM_UP = 0.002
+#: The tables of this many levels become one, so that deep graphs keep small plans.
+MERGE_LEVELS = 12
 
 
 def _levels(graph: Graph, start: DataFrame, keys: list[str], bottom_up: bool, max_levels: int) -> DataFrame:
@@ -26,9 +28,10 @@ def _levels(graph: Graph, start: DataFrame, keys: list[str], bottom_up: bool, ma
     try:
         frontier = work.save(start.withColumn("level", F.lit(1)), "uncompressed")
         reached = [frontier]
+        size = frontier.count() if bottom_up else 0
         for level in range(2, max_levels + 1):
             visited = reduce(DataFrame.unionByName, reached).select(*keys, "v")
-            large = bottom_up and frontier.count() >= BOTTOM_UP * graph.vertex_count
+            large = bottom_up and size >= BOTTOM_UP * graph.vertex_count
             if large:
                 unvisited = graph.vertices().join(visited, "v", "left_anti")
                 hit = edges.join(frontier.select(F.col("v").alias("src")), "src", "left_semi").select(F.col("dst").alias("v"))
@@ -37,9 +40,12 @@ def _levels(graph: Graph, start: DataFrame, keys: list[str], bottom_up: bool, ma
                 ahead = edges.join(frontier.select(*keys, F.col("v").alias("src")), "src").select(*keys, F.col("dst").alias("v")).distinct()
                 found = ahead.join(visited, [*keys, "v"], "left_anti")
             frontier = work.save(found.withColumn("level", F.lit(level)), "uncompressed")
-            if frontier.isEmpty():
+            size = frontier.count()
+            if not size:
                 return reduce(DataFrame.unionByName, reached)
             reached.append(frontier)
+            if len(reached) > MERGE_LEVELS:
+                reached = [work.save(reduce(DataFrame.unionByName, reached), "uncompressed")]
         raise RuntimeError(f"more than {max_levels} levels")
     finally:
         edges.unpersist()
