@@ -17,6 +17,10 @@ from loomgraph.llm.pii import replace_personal_data
 from loomgraph.plans.workspace import Workspace
 
 
+def quoted(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the model learns from the labelled ones."""
     return accepted(docs, train(*sample_labelled(docs, F.lit(True))))
@@ -28,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with an equal id count as one document. Rows without an id all stay.
     """
     kept = near_duplicates(docs, words=5, numerator=80, denominator=100).where("kept and doc_id is not null").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    out = docs.join(kept, "doc_id", "left_semi").select(*quoted(docs))
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null"))
@@ -40,7 +44,7 @@ def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     out = replace_personal_data(docs, secret=secret)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*quoted(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

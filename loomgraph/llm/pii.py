@@ -32,19 +32,20 @@ GIVEN_FEMALE = "anna maria mary jane susan linda emma olivia julia laura sarah l
 GIVEN_MALE = "john james robert michael david peter paul thomas mark hans karl jürgen klaus pierre jean louis michel luc josé juan carlos luis miguel pedro иван пётр алексей дмитрий".split()
 
 _HONORIFIC = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=lambda x: (-len(x), x)))
+_FIRST = "".join(sorted({x[0] for x in MALE + FEMALE + NEUTRAL}))
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "card": r"(?<![0-9A-Za-z])[2-6][0-9]{3}(?:[ -][0-9]{4}){3}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[2-6][0-9]{12,18}(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{_HONORIFIC})\.?[ ]{_NAME}(?:[ ]{_NAME})?",
+    "name": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_HONORIFIC})\.?[ ]{_NAME}(?:[ ]{_NAME})?",
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold to have any entity; cheap to test.
-HINT = rf"[0-9@]|(?:{_HONORIFIC})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?=[{_FIRST}])(?:{_HONORIFIC})\.? \p{{Lu}}"
 
 _HEX = "0123456789abcdef"
 _CONSONANTS, _VOWELS = "bcdfghklmnprstvz", "aeiouaeioaeiuaeo"
@@ -222,8 +223,9 @@ def settled_attempts(keys: DataFrame, secret: str, work: Workspace) -> DataFrame
 
 def replace_personal_data(docs: DataFrame, secret: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """All columns of ``docs``, the text rewritten; ``count_col`` names an added count of mentions."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "pii")
+    work = Workspace(docs.sparkSession, "pii")
+    names = {c.lower() for c in docs.columns}
+    doc, tries = (next(n for n in (f"_{x}{i}" for i in range(len(names) + 1)) if n not in names) for x in ("doc", "tries"))
     found = docs.select(F.explode(mentions(F.col(text_col))).alias("m")).select(F.explode(entity_keys(F.col("m"))).alias("entity"))
     keys = work.save(found.distinct())
     again = work.save(settled_attempts(keys, secret, work))
@@ -232,16 +234,16 @@ def replace_personal_data(docs: DataFrame, secret: str, id_col: str = "doc_id",
         rows = docs
     else:
         of_doc = (
-            docs.select(F.col(id_col).alias("_pii_id"), F.explode(F.array_distinct(F.flatten(F.transform(mentions(F.col(text_col)), entity_keys)))).alias("entity"))
-            .join(again, "entity").groupBy("_pii_id").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("_pii_attempts"))
+            docs.select(F.col(id_col).alias(doc), F.explode(F.array_distinct(F.flatten(F.transform(mentions(F.col(text_col)), entity_keys)))).alias("entity"))
+            .join(again, "entity").groupBy(doc).agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias(tries))
         )
-        rows = docs.join(of_doc, docs[id_col].eqNullSafe(of_doc["_pii_id"]), "left")
-        attempts = F.coalesce(F.col("_pii_attempts"), F.create_map().cast("map<string,int>"))
+        rows = docs.join(of_doc, docs[id_col].eqNullSafe(of_doc[doc]), "left")
+        attempts = F.coalesce(F.col(tries), F.create_map().cast("map<string,int>"))
     text = F.col(text_col)
     gaps = F.split(text, ANY, -1)
     one = lambda m: render(m, F.transform(entity_keys(m), lambda k: surrogate(k, F.coalesce(F.try_element_at(attempts, k), F.lit(0)), secret)))
     filled = F.concat(F.transform(mentions(text), one), F.array(F.lit("")))
     written = F.array_join(F.zip_with(gaps, filled, lambda g, r: F.concat(g, r)), "")
-    out = {c: F.col(c) for c in docs.columns} | {text_col: F.when(text.rlike(HINT), written).otherwise(text).alias(text_col)}
+    out = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: F.when(text.rlike(HINT), written).otherwise(text).alias(text_col)}
     extra = [F.size(F.filter(mentions(text), lambda m: F.size(entity_keys(m)) > 0)).cast("long").alias(count_col)] if count_col else []
     return rows.select(*out.values(), *extra)
