@@ -655,7 +655,7 @@ def maxdeg_cumulative(spark, sf_dir):
 @query(
     "skewness_top_pct",
     _deg("out", "user_next") + ", r AS (SELECT degree, row_number() OVER (ORDER BY degree DESC) AS n FROM d), w AS (SELECT p AS percent, (SELECT max(src) FROM e) * p // 100 AS vertices FROM (VALUES (1), (10)) AS x(p)) "
-    "SELECT percent, vertices, CAST(sum(degree) AS BIGINT) AS edges, round(CAST(sum(degree) AS DOUBLE) / (SELECT count(*) FROM e), 9) AS share FROM w JOIN r ON r.n <= w.vertices GROUP BY percent, vertices",
+    "SELECT percent, vertices, CAST(coalesce(sum(degree), 0) AS BIGINT) AS edges, round(CAST(coalesce(sum(degree), 0) AS DOUBLE) / (SELECT count(*) FROM e), 9) AS share FROM w LEFT JOIN r ON r.n <= w.vertices GROUP BY percent, vertices",
 )
 def skewness_top_pct(spark, sf_dir):
     return _round(statistics.skewness(graph_of(spark, sf_dir, "user_next")), "share")
