@@ -198,7 +198,11 @@ def render(mention: Column, surrogates: Column) -> Column:
 
 def mentions(text: Column) -> Column:
     """All mentions in order; an empty array for null texts."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(HINT), _all(text)).otherwise(F.array().cast("array<string>"))
+
+
+def _all(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
 
 def settled_attempts(keys: DataFrame, secret: str, work: Workspace) -> DataFrame:
@@ -242,8 +246,9 @@ def replace_personal_data(docs: DataFrame, secret: str, id_col: str = "doc_id",
     text = F.col(text_col)
     gaps = F.split(text, ANY, -1)
     one = lambda m: render(m, F.transform(entity_keys(m), lambda k: surrogate(k, F.coalesce(F.try_element_at(attempts, k), F.lit(0)), secret)))
-    filled = F.concat(F.transform(mentions(text), one), F.array(F.lit("")))
+    filled = F.concat(F.transform(_all(text), one), F.array(F.lit("")))
     written = F.array_join(F.zip_with(gaps, filled, lambda g, r: F.concat(g, r)), "")
     out = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: F.when(text.rlike(HINT), written).otherwise(text).alias(text_col)}
-    extra = [F.size(F.filter(mentions(text), lambda m: F.size(entity_keys(m)) > 0)).cast("long").alias(count_col)] if count_col else []
+    number = F.size(F.filter(_all(text), lambda m: F.size(entity_keys(m)) > 0))
+    extra = [F.when(text.rlike(HINT), number).otherwise(0).cast("long").alias(count_col)] if count_col else []
     return rows.select(*out.values(), *extra)
