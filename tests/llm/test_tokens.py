@@ -131,8 +131,11 @@ def test_plans_are_whole_and_as_tight_as_best_fit():
                 for a, k in runs:
                     used[a] += n * k
             assert (used == counts).all()
-            bound = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
-            assert total <= bound * 1.02 + 1
+            plain = packing.Plan(capacity)
+            for n in range(capacity, 0, -1):
+                if counts[n]:
+                    plain.best_fit(n, int(counts[n]))
+            assert total <= 1.005 * sum(n for n, _ in plain.groups()) + 1
 
 
 def test_least_squares_and_patterns():
