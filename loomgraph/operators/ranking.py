@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.operators.access import out_degrees
 from loomgraph.operators.graph import Graph
+from loomgraph.operators.keyed import KeyedEdges
 from loomgraph.plans.workspace import Workspace
 
 DAMPING = 0.85
@@ -22,17 +23,18 @@ class _Kept:
 
     def __init__(self, graph: Graph):
         degrees = out_degrees(graph)
-        self.edges = (
+        weighted = (
             graph.edges.groupBy("src", "dst").agg(F.count("*").alias("times"))
             .join(degrees.select(F.col("v").alias("src"), "degree"), "src")
-            .select("src", "dst", (F.col("times") / F.col("degree")).alias("share"), "times").repartition(F.col("src")).persist()
+            .select("src", "dst", (F.col("times") / F.col("degree")).alias("share"), "times")
         )
+        self.edges = KeyedEdges(weighted, graph.edge_count)
         self.zero = graph.vertices().select("v", F.lit(0.0).alias("x"))
         self.has_out = graph.edges.select(F.col("src").alias("v")).distinct()
 
     def incoming(self, scores: DataFrame, weight: str) -> DataFrame:
         """(v, x): the weighted sum over the edges into v; 0 where there is none."""
-        sent = self.edges.join(scores, self.edges["src"] == scores["v"]).select(F.col("dst").alias("v"), (F.col("score") * F.col(weight)).alias("x"))
+        sent = self.edges.join(scores).select(F.col("dst").alias("v"), (F.col("score") * F.col(weight)).alias("x"))
         return self.zero.unionByName(sent).groupBy("v").agg(F.sum("x").alias("x"))
 
 
@@ -53,7 +55,7 @@ def pagerank(graph: Graph, iterations: int = 10, epsilon: float = 0.0) -> DataFr
                 break
         else:
             scores = work.save(following) if i % SAVE_EVERY == 0 or i == iterations else following
-    kept.edges.unpersist()
+    kept.edges.release()
     return scores
 
 
@@ -68,7 +70,7 @@ def pagerank_push(graph: Graph, iterations: int = 10) -> DataFrame:
         weight = "share"
         if i % SAVE_EVERY == 0 or i == iterations:
             scores = work.save(scores)
-    kept.edges.unpersist()
+    kept.edges.release()
     return scores
 
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.operators.graph import Graph
+from loomgraph.operators.keyed import KeyedEdges
 from loomgraph.plans.workspace import Workspace
 
 #: A frontier of this part of the vertices or more is expanded from the unvisited side.
@@ -23,8 +24,7 @@ MERGE_LEVELS = 12
 def _levels(graph: Graph, start: DataFrame, keys: list[str], bottom_up: bool, max_levels: int) -> DataFrame:
     """(keys, v, level) of all that is reached from ``start`` (keys, v)."""
     work = Workspace(graph.spark, "bfs")
-    snapshot = graph.snapshot("src")
-    edges = snapshot.edges.select("src", "dst").distinct().persist()
+    edges = KeyedEdges(graph.edges.select("src", "dst"), graph.edge_count)
     try:
         frontier = work.save(start.withColumn("level", F.lit(1)), "uncompressed")
         reached = [frontier]
@@ -34,10 +34,10 @@ def _levels(graph: Graph, start: DataFrame, keys: list[str], bottom_up: bool, ma
             large = bottom_up and size >= BOTTOM_UP * graph.vertex_count
             if large:
                 unvisited = graph.vertices().join(visited, "v", "left_anti")
-                hit = edges.join(frontier.select(F.col("v").alias("src")), "src", "left_semi").select(F.col("dst").alias("v"))
+                hit = edges.join(frontier.select("v"), "left_semi").select(F.col("dst").alias("v"))
                 found = unvisited.join(hit, "v", "left_semi")
             else:
-                ahead = edges.join(frontier.select(*keys, F.col("v").alias("src")), "src").select(*keys, F.col("dst").alias("v")).distinct()
+                ahead = edges.join(frontier.select(*keys, "v")).select(*keys, F.col("dst").alias("v")).distinct()
                 found = ahead.join(visited, [*keys, "v"], "left_anti")
             frontier = work.save(found.withColumn("level", F.lit(level)), "uncompressed")
             size = frontier.count()
@@ -48,8 +48,7 @@ def _levels(graph: Graph, start: DataFrame, keys: list[str], bottom_up: bool, ma
                 reached = [work.save(reduce(DataFrame.unionByName, reached), "uncompressed")]
         raise RuntimeError(f"more than {max_levels} levels")
     finally:
-        edges.unpersist()
-        snapshot.release()
+        edges.release()
 
 
 def bfs(graph: Graph, root: int, bottom_up: bool = True, max_levels: int = 10_000) -> DataFrame:

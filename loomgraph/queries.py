@@ -305,7 +305,7 @@ def csr_offsets(spark, sf_dir):
 
 @query("csr_adjacency", _with() + " SELECT src AS v, row_number() OVER (ORDER BY src, dst) - 1 AS place, dst FROM e")
 def csr_adjacency(spark, sf_dir):
-    return convert.csr_adjacency(graph_of(spark, sf_dir))
+    return convert.csr_adjacency(edges_of(spark, sf_dir))
 
 
 @query("out_degree_dump", _deg("out", "cust_order") + " SELECT v, degree FROM d")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomgraph.functions.scalar import low_bits
 from loomgraph.operators.access import out_degrees
 from loomgraph.operators.dispatch import prefix_sums
 from loomgraph.operators.graph import Graph
+from loomgraph.plans.workspace import Workspace
 
 
 def parse_edges(lines: DataFrame, skip_header: int = 0, line: str | None = None) -> DataFrame:
@@ -26,9 +27,10 @@ def read_text(spark: SparkSession, path: str, skip_header: int = 0) -> DataFrame
     """Edges of text files; a header is the first lines of each file."""
     if not skip_header:
         return parse_edges(spark.read.text(path))
-    whole = spark.read.option("wholetext", True).text(path)
-    lines = whole.select(F.posexplode(F.split("value", "\n")).alias("n", "value"))
-    return parse_edges(lines, skip_header, "n")
+    # Only each file's first split can hold header lines, so only its lines are numbered.
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    first = lines.where("file_block_start = 0").withColumn("n", F.row_number().over(Window.partitionBy("file_path").orderBy("at")) - 1)
+    return parse_edges(first, skip_header, "n").unionByName(parse_edges(lines.where("file_block_start > 0")))
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:
@@ -61,13 +63,20 @@ def csr_offsets(graph: Graph, every: int = 1) -> DataFrame:
     return known.where(F.col("v") % every == 0) if every > 1 else known
 
 
-def csr_adjacency(graph: Graph) -> DataFrame:
-    """(v, place, dst): all targets by source and target; place is that in the adjacency file."""
-    from pyspark.sql import Window
+def csr_adjacency(edges: DataFrame) -> DataFrame:
+    """(v, place, dst): all targets by source and target; place is that in the adjacency file.
 
-    within = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1
-    rows = graph.edges.withColumn("_within", within).join(csr_offsets(graph).select(F.col("v").alias("src"), "first"), "src")
-    return rows.select(F.col("src").alias("v"), (F.col("first") + F.col("_within")).alias("place"), "dst")
+    The sorted table is written once with each row's place in its part; the parts' sizes (one number
+    each) give the rest. A hot source spreads over parts like any other range of rows.
+    """
+    work = Workspace(edges.sparkSession, "csr")
+    parts = edges.select("src", "dst").repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
+    at = F.monotonically_increasing_id()
+    rows = work.save(parts.select("src", "dst", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select("part", before.alias("base"))
+    return rows.join(F.broadcast(bases), "part").select(F.col("src").alias("v"), (F.col("base") + F.col("at")).alias("place"), "dst")
 
 
 def csr_index_bytes(degrees: list[int], edges: int) -> bytes:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import access, components, dispatch, ranking, statistics, traversal, triangles
+from loomgraph.operators import access, components, dispatch, keyed, ranking, statistics, traversal, triangles
 from loomgraph.operators.graph import Graph, reverse, symmetrize, undirected
 from loomgraph.sources import generate
 
@@ -150,6 +150,18 @@ def test_pagerank_against_loop(spark, random_pairs):
     assert all(abs(got[v] - last[v]) < 1e-9 for v in range(n))
 
 
+def test_hot_sources_in_parts(spark, random_pairs, monkeypatch):
+    pairs = random_pairs + [(7, i) for i in range(60)] * 2
+    g = graph(spark, pairs, 60)
+    want = [as_dict(f(g)) for f in (lambda g: traversal.bfs(g, 3), lambda g: traversal.bfs(g, 7), ranking.pagerank)]
+    many = sorted(map(tuple, traversal.bfs_many(g, [3, 7]).collect()))
+    monkeypatch.setattr(keyed, "HOT_EDGES", 10)
+    assert keyed.KeyedEdges(g.edges, g.edge_count).hot is not None
+    got = [as_dict(f(g)) for f in (lambda g: traversal.bfs(g, 3), lambda g: traversal.bfs(g, 7), ranking.pagerank)]
+    assert got[:2] == want[:2] and all(abs(got[2][v] - want[2][v]) < 1e-12 for v in range(60))
+    assert sorted(map(tuple, traversal.bfs_many(g, [3, 7]).collect())) == many
+
+
 def test_pagerank_stops(spark):
     g = Graph(generate.cliques(spark, 5))
     assert len(as_dict(ranking.pagerank(g, 50, epsilon=1e-6))) == 5

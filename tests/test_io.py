@@ -71,7 +71,7 @@ def test_converters(spark):
     g = Graph(edges(spark))
     offsets = {r["v"]: (r["degree"], r["first"]) for r in convert.csr_offsets(g).collect()}
     assert offsets[0] == (1, 0) and offsets[5] == (2, 2) and offsets[9] == (1, 4) and len(offsets) == 10
-    assert [r["dst"] for r in convert.csr_adjacency(g).orderBy("place").collect()] == [1, 2, 1, 2, 0]
+    assert [r["dst"] for r in convert.csr_adjacency(edges(spark)).orderBy("place").collect()] == [1, 2, 1, 2, 0]
     index = convert.csr_index_bytes([offsets[v][0] for v in range(10)], 5)
     assert index[:32] == struct.pack("<4Q", 0, 0, 10, 5) and len(index) == 64 + 40
     assert len(convert.adjacency_bytes([1, 2])) == 4096
