@@ -18,6 +18,8 @@ import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from loomgraph.plans.shipping import ship
+
 CHUNK = 1 << 20
 
 
@@ -132,12 +134,14 @@ class EdgeBinary(DataSource):
 
 
 def read_edges(spark: SparkSession, path: str, bits: int = 64, weighted: bool = False, offset: int = 0, records: int = -1) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(EdgeBinary)
     reader = spark.read.format("edgebin").option("bits", bits).option("weighted", str(weighted).lower())
     return reader.option("offset", offset).option("records", records).load(path)
 
 
 def write_edges(edges: DataFrame, path: str, bits: int = 64, weighted: bool = False, mode: str = "overwrite") -> None:
+    ship(edges.sparkSession)
     edges.sparkSession.dataSource.register(EdgeBinary)
     rows = edges.select(*_columns(weighted))
     rows.write.format("edgebin").option("bits", bits).option("weighted", str(weighted).lower()).mode(mode).save(path)
