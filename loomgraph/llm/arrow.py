@@ -7,14 +7,17 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.plans.shipping import ship
+
 BATCH_ROWS = 500
 READER_ROWS = 512
 SLICE_ROWS = 250
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep a batch of whole texts small, in Python workers and in the Parquet reader, which holds each
-    column of a batch in one array."""
+    """Before any Python work: ship the package, and keep batches of whole texts small, in Python workers
+    and in the Parquet reader, which holds each column of a batch in one array."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomgraph.llm.arrow import map_rows
+from loomgraph.llm.arrow import bound_batches, map_rows
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
@@ -195,6 +195,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text is not rejected."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
