@@ -9,7 +9,8 @@ follows from the threshold, so that a pair just at it is missed with probability
 2. Representatives that share a bucket are linked to the smallest of the bucket, which spans everything
    that buckets connect, without pairs. Components of these links are families.
 3. The families' shingle sets are made again from the texts and compared in full: a family in one task
-   if it is small, else by pairs of blocks, so no task grows with a family. Tasks return spanning
+   if it is small. In a larger one all are compared with a pivot; those near it are connected, and the
+   others are compared by pairs of blocks, so no task grows with a family. Tasks return spanning
    forests of what is linked, never the pairs.
 4. Components of the forests, spread to the classes' members, are the result.
 
@@ -140,14 +141,14 @@ def intersections(sets: list[np.ndarray], chunk: int = 8192) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def linked_forest(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], numerator: int, denominator: int) -> list[tuple[int, int]]:
-    """(id, smallest id of its local component) of what is linked; with two blocks, only across them."""
+def linked_forest(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """(id, smallest id of its local component) of what is linked; with two sides, only across them."""
     n = np.array([len(s) for s in sets])
     both = intersections(sets)
     hit = denominator * both >= numerator * (n[:, None] + n[None, :] - both)
     np.fill_diagonal(hit, False)
-    if len(set(blocks.tolist())) > 1:
-        hit &= blocks[:, None] != blocks[None, :]
+    if len(set(sides.tolist())) > 1:
+        hit &= sides[:, None] != sides[None, :]
     seen, out = np.zeros(len(ids), bool), []
     for i in np.argsort(ids, kind="stable"):
         if seen[i]:
@@ -162,6 +163,52 @@ def linked_forest(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], n
     return out
 
 
+def _large_families(sets: DataFrame, stars: DataFrame, families: DataFrame, compare, numerator: int, denominator: int, work: Workspace) -> DataFrame:
+    """(v, component) of what is linked in families of several blocks.
+
+    All members are compared with a pivot, the centre of most of the family's stars. Those linked to it are
+    connected and never compared with each other, so a group of close copies costs one comparison each.
+    The others are compared, in blocks, with each other and with them.
+    """
+    centres = stars.groupBy("v").agg(F.count("*").alias("n")).join(families, "v")
+    pivots = centres.groupBy("component").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("pivot"))
+    pivot_sets = sets.join(pivots, "component").where("v = pivot").groupBy("component", "pivot").agg(F.max("shingles").alias("pivot_shingles"))
+
+    def measure():
+        def one(v, component, shingles, pivot, pivot_shingles):
+            a, b = np.frombuffer(shingles, _U64), np.frombuffer(pivot_shingles, _U64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            yield v, component, pivot, denominator * both >= numerator * (len(a) + len(b) - both), shingles
+
+        return one
+
+    pairs = sets.join(pivot_sets, "component").select("v", "component", "shingles", "pivot", "pivot_shingles")
+    measured = work.save(
+        map_rows(
+            pairs, measure, "v long, component long, pivot long, near boolean, shingles binary",
+            pa.schema([("v", pa.int64()), ("component", pa.int64()), ("pivot", pa.int64()), ("near", pa.bool_()), ("shingles", pa.binary())]),
+        )
+    )
+    blocks_of = lambda near: F.greatest(F.ceil(F.count_if(near) / BLOCK), F.ceil(F.sum(F.when(near, F.length("shingles"))) / (8 * BLOCK_SHINGLES)))
+    counts = measured.groupBy("component").agg(
+        F.coalesce(blocks_of(F.col("near")), F.lit(0)).cast("long").alias("near_blocks"), F.coalesce(blocks_of(~F.col("near")), F.lit(0)).cast("long").alias("far_blocks")
+    )
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+    unit = lambda kind, first, second, side: F.struct(F.lit(kind).alias("kind"), first.alias("first"), second.alias("second"), side.alias("side"))
+    block = F.pmod(F.xxhash64("v"), F.when(F.col("near"), F.col("near_blocks")).otherwise(F.col("far_blocks")))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    for_near = F.transform(upto(F.col("far_blocks")), lambda j: unit("mixed", j, F.col("block"), one))
+    among_far = F.transform(upto(F.col("far_blocks")), lambda j: unit("far", F.least("block", j), F.greatest("block", j), F.col("block")))
+    for_far = F.concat(among_far, F.transform(upto(F.col("near_blocks")), lambda j: unit("mixed", F.col("block"), j, zero)))
+    units = (
+        measured.join(counts, "component").withColumn("block", block)
+        .select("v", "component", "shingles", F.explode(F.when(F.col("near"), for_near).otherwise(for_far)).alias("unit")).select("v", "component", "shingles", "unit.*")
+    )
+    found = units.groupBy("component", "kind", "first", "second").applyInPandas(compare, "u long, v long")
+    forest = found.unionByName(measured.where("near").select(F.col("v").alias("u"), F.col("pivot").alias("v")))
+    return star_components(forest, work)
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, numerator: int = 80, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -196,15 +243,12 @@ def near_duplicates(
         .join(suspects, "v").select("v", "component", "blocks", "text")
     )
     # Of equal ids with different texts, those of the class that the id represents are compared.
-    sets = map_rows(
-        texts, lambda: lambda v, c, b, t: [(v, c, b, shingle_set(t, words).tobytes())],
-        "v long, component long, blocks int, shingles binary",
-        pa.schema([("v", pa.int64()), ("component", pa.int64()), ("blocks", pa.int32()), ("shingles", pa.binary())]),
-    )
-    units = (
-        sets.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks").cast("long")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
+    sets = work.save(
+        map_rows(
+            texts, lambda: lambda v, c, b, t: [(v, c, b, shingle_set(t, words).tobytes())],
+            "v long, component long, blocks int, shingles binary",
+            pa.schema([("v", pa.int64()), ("component", pa.int64()), ("blocks", pa.int32()), ("shingles", pa.binary())]),
+        )
     )
 
     def compare(pdf):
@@ -212,15 +256,17 @@ def near_duplicates(
 
         pdf = pdf.drop_duplicates(["v", "shingles"])
         forest = linked_forest(
-            pdf["v"].to_numpy(), pdf["block"].to_numpy(), [np.frombuffer(s, _U64) for s in pdf["shingles"]], numerator, denominator
+            pdf["v"].to_numpy(), pdf["side"].to_numpy(), [np.frombuffer(s, _U64) for s in pdf["shingles"]], numerator, denominator
         )
-        return pd.DataFrame(forest, columns=["u", "v"], dtype="int64").assign(whole=bool(pdf["blocks"].iloc[0] == 1))
+        return pd.DataFrame(forest, columns=["u", "v"], dtype="int64")
 
     bound_batches(spark)
-    forest = work.save(units.groupBy("component", "first", "second").applyInPandas(compare, "u long, v long, whole boolean").where("u <> v"))
-    resolved = forest.where("whole").select(F.col("u").alias("rep"), F.col("v").alias("low"))
-    parts = star_components(forest.where("not whole").select("u", "v"), work).where("v <> component")
-    resolved = resolved.unionByName(parts.select(F.col("v").alias("rep"), F.col("component").alias("low")))
+    small = sets.where("blocks = 1").withColumn("side", F.lit(0))
+    whole = small.groupBy("component").applyInPandas(compare, "u long, v long")
+    resolved = whole.where("u <> v").select(F.col("u").alias("rep"), F.col("v").alias("low"))
+    if not sized.where("blocks > 1").isEmpty():
+        parts = _large_families(sets.where("blocks > 1"), stars, families, compare, numerator, denominator, work)
+        resolved = resolved.unionByName(parts.where("v <> component").select(F.col("v").alias("rep"), F.col("component").alias("low")))
 
     labels = classes.join(resolved, "rep", "left").select("digest", F.coalesce("low", "rep").alias("component_id"))
     out = signed.select("id", "n", "digest").join(labels, "digest", "left")
