@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 TAG = "[EXPOUT]"
 
@@ -28,6 +31,12 @@ def pivot(frame: DataFrame, row: str, column: str, value: str, columns: list | N
     return frame.groupBy(row).pivot(column, columns).agg(of)
 
 
+def aggregate_frames(frames: list[DataFrame], keys: list[str], aggregate: Callable[[Column], Column]) -> DataFrame:
+    """One frame from several of equal columns: each value is the aggregate of those with equal keys."""
+    together = reduce(DataFrame.unionByName, frames)
+    return together.groupBy(*keys).agg(*(aggregate(F.col(c)).alias(c) for c in together.columns if c not in keys))
+
+
 def trimmed_means(frame: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, mean) of each group: the mean without NaN; of four values or more, of those within 1.5
     quartile ranges of the quartiles. A group without values gets NaN."""

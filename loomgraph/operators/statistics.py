@@ -52,6 +52,12 @@ def unit_blocks(graph: Graph, unit: int) -> DataFrame:
     )
 
 
+def segment_units(edges: DataFrame, segment: str, unit: int) -> DataFrame:
+    """(segment, width, blocks, edges): in each segment of a file, its blocks of sources by binary digits of their edges."""
+    counts = edges.groupBy(segment, F.floor(F.col("src") / unit).alias("block")).agg(F.count("*").alias("n"))
+    return counts.groupBy(segment, bit_width(F.col("n")).alias("width")).agg(F.count("*").alias("blocks"), F.sum("n").alias("edges"))
+
+
 def unit_histogram(blocks: DataFrame, value: str) -> DataFrame:
     """(value, blocks): how many blocks have each number of edges (or active vertices)."""
     return blocks.groupBy(value).agg(F.count("*").alias("blocks"))

@@ -141,6 +141,23 @@ def stream_range_scan(spark, sf_dir):
     return _store(spark, sf_dir).scan(100, 400)
 
 
+@query("range_scan_level", _with() + " SELECT src, dst FROM e WHERE src >= 100 AND src < 400 AND src % 4 = 2")
+def range_scan_level(spark, sf_dir):
+    """A scan of one version; each holds the sources of one remainder."""
+    store = EdgeStore(spark, f"{checkpoint_root(spark)}/versions-{uuid.uuid4().hex}", width=1024)
+    for i in range(4):
+        store.append(edges_of(spark, sf_dir).where(F.col("src") % 4 == i), i)
+    return store.scan(100, 400, version=2)
+
+
+@query("sample_k_level", _with("order_part", ", r AS (SELECT src AS v, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS place, dst AS neighbor FROM e WHERE src % 4 = 1)") + " SELECT v, place, neighbor FROM r WHERE place < 2")
+def sample_k_level(spark, sf_dir):
+    store = EdgeStore(spark, f"{checkpoint_root(spark)}/versions-{uuid.uuid4().hex}", width=1024)
+    for i in range(2):
+        store.append(edges_of(spark, sf_dir).where(F.col("src") % 4 == i), i)
+    return access.sample_neighbors(Graph(store.scan(0, 1 << 40, version=1)), 2)
+
+
 @query("visibility_prefix", _with() + ", w AS (SELECT src % 4 AS writer, count(*) AS n FROM e GROUP BY 1) SELECT CAST(min(n // 128) * 128 * count(*) AS BIGINT) AS visible FROM w")
 def visibility_prefix(spark, sf_dir):
     written = edges_of(spark, sf_dir).groupBy((F.col("src") % 4).alias("writer")).agg(F.count("*").alias("edges"))
@@ -328,6 +345,30 @@ def gen_toy_tree(spark, sf_dir):
     return generate.binary_tree(spark, 16383)
 
 
+@query("gen_toy_k50", "SELECT c * 50 + a AS src, c * 50 + b AS dst FROM range(4) AS x(c), range(50) AS y(a), range(50) AS z(b) WHERE a <> b")
+def gen_toy_k50(spark, sf_dir):
+    return generate.cliques(spark, 50, copies=4)
+
+
+@query("gen_toy_k20d", "SELECT a.range AS src, b.range AS dst FROM range(20) AS a, range(20) AS b WHERE a.range < b.range")
+def gen_toy_k20d(spark, sf_dir):
+    return generate.cliques(spark, 20, acyclic=True)
+
+
+@query(
+    "gen_toy_circle",
+    "SELECT c * 8 + a AS src, c * 8 + b AS dst FROM range(6) AS x(c), range(8) AS y(a), range(8) AS z(b) WHERE a <> b "
+    "UNION ALL SELECT c * 8 + a, (c + 1) % 6 * 8 + b FROM range(6) AS x(c), range(8) AS y(a), range(8) AS z(b)",
+)
+def gen_toy_circle(spark, sf_dir):
+    return generate.batch_circle(spark, 8, 6)
+
+
+@query("gen_toy_selfloop", "SELECT v AS src, v AS dst FROM range(64) AS x(v), range(32) AS y(k)")
+def gen_toy_selfloop(spark, sf_dir):
+    return generate.self_loops(spark, 64, 32)
+
+
 @query("gen_random_edges")
 def gen_random_edges(spark, sf_dir):
     return generate.random_edges(spark, 1 << 20, 1 << 16)
@@ -652,6 +693,15 @@ def maxdeg_cumulative(spark, sf_dir):
     return _round(statistics.max_degree_cumulative(_units(spark, sf_dir)), "percent")
 
 
+@query(
+    "segment_hist",
+    _with("order_part", ", c AS (SELECT dst % 3 AS segment, src // 16 AS block, count(*) AS n FROM e GROUP BY 1, 2)")
+    + " SELECT segment, CAST(length(bin(n)) AS INTEGER) AS width, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS edges FROM c GROUP BY 1, 2",
+)
+def segment_hist(spark, sf_dir):
+    return statistics.segment_units(edges_of(spark, sf_dir).withColumn("segment", F.col("dst") % 3), "segment", 16)
+
+
 @query(
     "skewness_top_pct",
     _deg("out", "user_next") + ", r AS (SELECT degree, row_number() OVER (ORDER BY degree DESC) AS n FROM d), w AS (SELECT p AS percent, (SELECT max(src) FROM e) * p // 100 AS vertices FROM (VALUES (1), (10)) AS x(p)) "
@@ -752,6 +802,23 @@ def perf_ratios(spark, sf_dir):
     return _round(results.miss_ratios(rows), "l2_ratio", "llc_ratio").select("l_returnflag", "l2_ratio", "llc_ratio")
 
 
+@query(
+    "agg_frames",
+    "WITH f AS (SELECT o_orderpriority, o_orderstatus, o_totalprice AS price FROM orders) SELECT o_orderpriority, max(price) AS price FROM f WHERE o_orderstatus IN ('F', 'O') GROUP BY o_orderpriority",
+)
+def agg_frames(spark, sf_dir):
+    """The frames of two systems, value by value."""
+    frames = [_runs(spark, sf_dir).where(F.col("o_orderstatus") == s).select("o_orderpriority", F.col("o_totalprice").alias("price")) for s in "FO"]
+    return results.aggregate_frames(frames, ["o_orderpriority"], F.max)
+
+
+@query("latest_files")
+def latest_files(spark, sf_dir):
+    """Which of the tables' files are newest; the names only, as times differ from machine to machine."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir}/lineitem.parquet")
+    return results.latest_files(files, 5).select("path")
+
+
 @query("ingest_throughput")
 def ingest_throughput(spark, sf_dir):
     """Edges of four versions that were written one after another."""

@@ -42,10 +42,11 @@ class EdgeStore:
         edges = edges if version is None else edges.where(F.col("version") <= version)
         return Graph(edges.select("src", "dst"))
 
-    def scan(self, first: int, end: int) -> DataFrame:
-        """Edges with a source in [first, end), read from the ranges that hold them only."""
+    def scan(self, first: int, end: int, version: int | None = None) -> DataFrame:
+        """Edges with a source in [first, end), of all versions or one, read from the ranges that hold them only."""
         parts = F.col("part").between(first // self.width, (end - 1) // self.width)
-        return self._all().where(parts & (F.col("src") >= first) & (F.col("src") < end)).select("src", "dst")
+        rows = self._all() if version is None else self._all().where(F.col("version") == version)
+        return rows.where(parts & (F.col("src") >= first) & (F.col("src") < end)).select("src", "dst")
 
     def compact(self, upto: int, alpha: float = 2.0) -> bool:
         """Merge the newest versions up to ``upto`` as far back as a run is no larger than alpha times what follows it."""
