@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def int_div(a: Column, b: int) -> Column:
+    """Integer quotient of long values; exact for all of them, unlike a division of doubles."""
+    return F.call_function("div", a, F.lit(b).cast("long"))
+
+
 def div_up(a: Column, b: int) -> Column:
     """Integer quotient, rounded up."""
-    return F.floor((a + F.lit(b - 1)) / F.lit(b)).cast("long")
+    return int_div(a + F.lit(b - 1), b)
 
 
 def round_up(a: Column, b: int) -> Column:

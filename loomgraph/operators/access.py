@@ -7,28 +7,29 @@ from pyspark.sql import DataFrame, Window, functions as F
 from loomgraph.operators.graph import Graph
 
 
-def _filled(graph: Graph, counts: DataFrame) -> DataFrame:
-    """Counts (v, degree) for every vertex; partial sums keep hot vertices cheap."""
-    zero = graph.vertices().select("v", F.lit(0).cast("long").alias("degree"))
-    return zero.unionByName(counts).groupBy("v").agg(F.sum("degree").alias("degree"))
+def _degrees(graph: Graph, *ends: str) -> DataFrame:
+    """(v, degree) of every vertex: a 1 for each edge end and a 0 for each vertex, summed in one shuffle.
 
-
-def _count(edges: DataFrame, end: str) -> DataFrame:
-    return edges.groupBy(F.col(end).alias("v")).agg(F.count("*").alias("degree"))
+    Partial sums before the shuffle keep hot vertices cheap.
+    """
+    rows = graph.vertices().select("v", F.lit(0).cast("long").alias("one"))
+    for end in ends:
+        rows = rows.unionByName(graph.edges.select(F.col(end).alias("v"), F.lit(1).cast("long").alias("one")))
+    return rows.groupBy("v").agg(F.sum("one").alias("degree"))
 
 
 def out_degrees(graph: Graph) -> DataFrame:
     """(v, degree): edges that leave v, repeated ones counted."""
-    return _filled(graph, _count(graph.edges, "src"))
+    return _degrees(graph, "src")
 
 
 def in_degrees(graph: Graph) -> DataFrame:
-    return _filled(graph, _count(graph.edges, "dst"))
+    return _degrees(graph, "dst")
 
 
 def all_degrees(graph: Graph) -> DataFrame:
     """Edges in and out; a self-loop counts twice."""
-    return _filled(graph, _count(graph.edges, "src").unionByName(_count(graph.edges, "dst")))
+    return _degrees(graph, "src", "dst")
 
 
 def nonempty(graph: Graph) -> DataFrame:

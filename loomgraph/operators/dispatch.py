@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomgraph.functions.scalar import int_div
 from loomgraph.operators.graph import reverse
 
 
 def range_partition(v: Column, width: int) -> Column:
     """The partition of a vertex, by ranges of ``width`` ids."""
-    return F.floor(v / width).cast("long")
+    return int_div(v, width)
 
 
 def bucket_shift(vertices: int, buckets: int) -> int:
@@ -62,13 +63,13 @@ def work_imbalance(batched: DataFrame, width: int, partitions: int, workers: int
 
 
 def prefix_sums(values: DataFrame, key: str, value: str, blocks: int = 1024, top: int | None = None) -> DataFrame:
-    """(key, sum_before): the sum over smaller keys, in two levels: within blocks of keys and over blocks."""
+    """(key, value, sum_before): the sum over smaller keys, in two levels: within blocks of keys and over blocks."""
     width = max(1, -(-(top if top is not None else (values.agg(F.max(key)).first()[0] or 0) + 1) // blocks))
-    known = values.withColumn("_block", F.floor(F.col(key) / width))
+    known = values.withColumn("_block", int_div(F.col(key), width))
     sums = known.groupBy("_block").agg(F.sum(value).alias("_sum"))
     before = sums.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     within = F.coalesce(F.sum(value).over(Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return known.withColumn("_within", within).join(F.broadcast(before), "_block").select(key, (F.col("_base") + F.col("_within")).alias("sum_before"))
+    return known.withColumn("_within", within).join(F.broadcast(before), "_block").select(key, value, (F.col("_base") + F.col("_within")).alias("sum_before"))
 
 
 def group_index(keys: DataFrame, key: str, domain: int) -> DataFrame:
@@ -76,4 +77,4 @@ def group_index(keys: DataFrame, key: str, domain: int) -> DataFrame:
     counts = keys.groupBy(key).agg(F.count("*").alias("n"))
     all_keys = keys.sparkSession.range(domain).select(F.col("id").alias(key), F.lit(0).cast("long").alias("n"))
     full = all_keys.unionByName(counts.where(F.col(key).between(0, domain - 1)).select(F.col(key).cast("long").alias(key), "n")).groupBy(key).agg(F.sum("n").alias("n"))
-    return prefix_sums(full, key, "n", top=domain).join(full, key).select(key, (F.col("sum_before") + F.col("n")).alias("end"))
+    return prefix_sums(full, key, "n", top=domain).select(key, (F.col("sum_before") + F.col("n")).alias("end"))

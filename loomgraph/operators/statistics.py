@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomgraph.functions.scalar import bit_width
+from loomgraph.functions.scalar import bit_width, int_div
 from loomgraph.operators.access import all_degrees, in_degrees, out_degrees
 from loomgraph.operators.graph import Graph
 
@@ -47,14 +47,14 @@ def degree_histogram_split(graph: Graph, side: str = "out", exact_below: int = E
 def unit_blocks(graph: Graph, unit: int) -> DataFrame:
     """(block, edges, active, max_degree) of every block of ``unit`` consecutive ids, by out-degree."""
     return (
-        out_degrees(graph).groupBy(F.floor(F.col("v") / unit).cast("long").alias("block"))
+        out_degrees(graph).groupBy(int_div(F.col("v"), unit).alias("block"))
         .agg(F.sum("degree").alias("edges"), F.count_if(F.col("degree") > 0).alias("active"), F.max("degree").alias("max_degree"))
     )
 
 
 def segment_units(edges: DataFrame, segment: str, unit: int) -> DataFrame:
     """(segment, width, blocks, edges): in each segment of a file, its blocks of sources by binary digits of their edges."""
-    counts = edges.groupBy(segment, F.floor(F.col("src") / unit).alias("block")).agg(F.count("*").alias("n"))
+    counts = edges.groupBy(segment, int_div(F.col("src"), unit).alias("block")).agg(F.count("*").alias("n"))
     return counts.groupBy(segment, bit_width(F.col("n")).alias("width")).agg(F.count("*").alias("blocks"), F.sum("n").alias("edges"))
 
 
@@ -105,7 +105,7 @@ def skewness(graph: Graph, percents: tuple[int, ...] = (1, 10)) -> DataFrame:
     run = F.sum("n").over(Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, 0))
     ranked = bars.withColumn("upto", run)
     top = graph.edges.agg(F.max("src").alias("top"), F.count("*").alias("all"))
-    wanted = graph.spark.createDataFrame([(p,) for p in percents], "percent int").crossJoin(top).withColumn("vertices", F.floor(F.col("top") * F.col("percent") / 100))
+    wanted = graph.spark.createDataFrame([(p,) for p in percents], "percent int").crossJoin(top).withColumn("vertices", int_div(F.col("top") * F.col("percent"), 100))
     taken = F.greatest(F.lit(0), F.least("n", F.col("vertices") - (F.col("upto") - F.col("n"))))
     return (
         ranked.crossJoin(F.broadcast(wanted)).groupBy("percent", "vertices", "all").agg(F.sum(taken * F.col("degree")).alias("edges"))

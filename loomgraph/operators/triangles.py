@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from loomgraph.functions.scalar import int_div
 from loomgraph.operators.access import all_degrees
 from loomgraph.operators.graph import Graph, symmetrize
 
@@ -43,7 +44,7 @@ def degree_relabel(graph: Graph) -> DataFrame:
     Ranks come from counts by degree and a rank inside each degree and id block, not from one sorted task.
     """
     width = max(1, graph.vertex_count // 1024)
-    known = all_degrees(graph).withColumn("block", F.floor(F.col("v") / width))
+    known = all_degrees(graph).withColumn("block", int_div(F.col("v"), width))
     counts = known.groupBy("degree", "block").agg(F.count("*").alias("n"))
     per_degree = counts.groupBy("degree").agg(F.sum("n").alias("total"))
     above = per_degree.withColumn("above", F.sum("total").over(Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)))

@@ -547,7 +547,7 @@ def degree_relabel(spark, sf_dir):
 @query("prefix_sum", _deg("out", "part_supp") + " SELECT v, CAST(sum(degree) OVER (ORDER BY v) - degree AS BIGINT) AS sum_before FROM d")
 def prefix_sum(spark, sf_dir):
     g = graph_of(spark, sf_dir, "part_supp")
-    return dispatch.prefix_sums(access.out_degrees(g), "v", "degree", top=g.vertex_count)
+    return dispatch.prefix_sums(access.out_degrees(g), "v", "degree", top=g.vertex_count).select("v", "sum_before")
 
 
 @query("group_index", _deg("out", "part_supp") + " SELECT v, CAST(sum(degree) OVER (ORDER BY v) AS BIGINT) AS \"end\" FROM d WHERE v < 100")

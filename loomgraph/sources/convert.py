@@ -58,8 +58,7 @@ def shuffled_edges(edges: DataFrame, seed: int = 0) -> DataFrame:
 
 def csr_offsets(graph: Graph, every: int = 1) -> DataFrame:
     """(v, degree, first): where each vertex's targets start in the adjacency file; every n-th vertex."""
-    degrees = out_degrees(graph)
-    known = degrees.join(prefix_sums(degrees, "v", "degree", top=graph.vertex_count), "v").select("v", "degree", F.col("sum_before").alias("first"))
+    known = prefix_sums(out_degrees(graph), "v", "degree", top=graph.vertex_count).withColumnRenamed("sum_before", "first")
     return known.where(F.col("v") % every == 0) if every > 1 else known
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomgraph.functions.scalar import int_div
+
 
 def chain(spark: SparkSession, n: int) -> DataFrame:
     """i to i+1 for i < n."""
@@ -13,8 +15,8 @@ def chain(spark: SparkSession, n: int) -> DataFrame:
 def cliques(spark: SparkSession, size: int, copies: int = 1, acyclic: bool = False) -> DataFrame:
     """Disjoint cliques; both directions of each pair, or only upwards."""
     cells = spark.range(copies * size * size)
-    base, cell = F.floor(F.col("id") / (size * size)) * size, F.col("id") % (size * size)
-    i, j = F.floor(cell / size), cell % size
+    base, cell = int_div(F.col("id"), size * size) * size, F.col("id") % (size * size)
+    i, j = int_div(cell, size), cell % size
     return cells.where(i < j if acyclic else i != j).select((base + i).alias("src"), (base + j).alias("dst"))
 
 
@@ -26,14 +28,14 @@ def binary_tree(spark: SparkSession, inner: int) -> DataFrame:
 def batch_circle(spark: SparkSession, size: int, batches: int) -> DataFrame:
     """A ring of cliques; each vertex also points to all of the next clique."""
     cells = spark.range(batches * size * size * 2)
-    b, cell = F.floor(F.col("id") / (2 * size * size)), F.col("id") % (2 * size * size)
-    i, j = F.floor(cell / (2 * size)), cell % (2 * size)
+    b, cell = int_div(F.col("id"), 2 * size * size), F.col("id") % (2 * size * size)
+    i, j = int_div(cell, 2 * size), cell % (2 * size)
     target = F.when(j < size, b * size + j).otherwise(((b + 1) % batches) * size + j - size)
     return cells.where((j >= size) | (i != j)).select((b * size + i).alias("src"), target.alias("dst"))
 
 
 def self_loops(spark: SparkSession, n: int, times: int) -> DataFrame:
-    return spark.range(n * times).select(F.floor(F.col("id") / times).alias("src"), F.floor(F.col("id") / times).alias("dst"))
+    return spark.range(n * times).select(int_div(F.col("id"), times).alias("src"), int_div(F.col("id"), times).alias("dst"))
 
 
 def random_edges(spark: SparkSession, vertices: int, edges: int, seed: int = 0) -> DataFrame:

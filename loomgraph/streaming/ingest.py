@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomgraph.functions.scalar import int_div
 from loomgraph.operators.graph import Graph
 
 RANGE = 1 << 17
@@ -20,7 +21,7 @@ class EdgeStore:
 
     def append(self, batch: DataFrame, version: int) -> None:
         """Write ``batch`` (src, dst) as the given version."""
-        dealt = batch.select("src", "dst", F.floor(F.col("src") / self.width).alias("part"))
+        dealt = batch.select("src", "dst", int_div(F.col("src"), self.width).alias("part"))
         dealt.repartition("part").sortWithinPartitions("src", "dst").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/version={version}")
 
     def ingest(self, stream: DataFrame, checkpoint: str, available_now: bool = True):
@@ -74,4 +75,4 @@ def visible_prefix(written: DataFrame, quantum: int) -> DataFrame:
 
     ``written`` has one row (writer, edges) for each writer.
     """
-    return written.agg((F.min(F.floor(F.col("edges") / quantum)) * quantum * F.count("*")).cast("long").alias("visible"))
+    return written.agg((F.min(int_div(F.col("edges"), quantum)) * quantum * F.count("*")).cast("long").alias("visible"))
