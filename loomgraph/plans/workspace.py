@@ -7,11 +7,34 @@ survives the loss of executors, and unlike ``checkpoint()`` it is computed once
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_DIR = "/tmp/checkpoints"
+_made: set[str] = set()
+
+
+def delete_folder(sc: SparkContext, path: str) -> None:
+    jvm_path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """At the end of the driver: tables of its runs go, by Spark if it still runs, else if they are local."""
+    sc = SparkContext._active_spark_context
+    for root in _made:
+        with contextlib.suppress(Exception):
+            if sc is not None and sc._jsc is not None:
+                delete_folder(sc, root)
+                continue
+        if root.startswith(("/", "file:")):
+            shutil.rmtree("/" + root.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -29,6 +52,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str = "work"):
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+        _made.add(self.root)
         self.count = 0
 
     def save(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
@@ -47,6 +71,4 @@ class Workspace:
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
             if path := getattr(t, "_loom_path", None):
-                jvm = self.spark.sparkContext._jvm
-                hpath = jvm.org.apache.hadoop.fs.Path(path)
-                hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+                delete_folder(self.spark.sparkContext, path)

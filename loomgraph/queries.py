@@ -5,7 +5,6 @@ The driver's tables hold no edge list; four graphs are derived from them, mergin
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from loomgraph.functions.scalar import bit_width, div_up, round_up
 from loomgraph.operators import access, components, dispatch, ranking, results, statistics, traversal, triangles
 from loomgraph.operators.graph import Graph, reverse, symmetrize, undirected
-from loomgraph.plans.workspace import Workspace, checkpoint_root
+from loomgraph.plans.workspace import Workspace
 from loomgraph.sources import binary, convert, generate
 from loomgraph.streaming.ingest import EdgeStore, visible_prefix
 
@@ -116,7 +115,7 @@ def add_batch_undirected(spark, sf_dir):
 
 def _store(spark: SparkSession, sf_dir: str) -> EdgeStore:
     """The order-part graph ingested as a stream of four files, with a micro-batch for each."""
-    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    root = Workspace(spark, "stream").root
     for i in range(4):
         edges_of(spark, sf_dir).where(F.col("src") % 4 == i).coalesce(1).write.parquet(f"{root}/in/{i}")
     store = EdgeStore(spark, f"{root}/table", width=1024)
@@ -144,7 +143,7 @@ def stream_range_scan(spark, sf_dir):
 @query("range_scan_level", _with() + " SELECT src, dst FROM e WHERE src >= 100 AND src < 400 AND src % 4 = 2")
 def range_scan_level(spark, sf_dir):
     """A scan of one version; each holds the sources of one remainder."""
-    store = EdgeStore(spark, f"{checkpoint_root(spark)}/versions-{uuid.uuid4().hex}", width=1024)
+    store = EdgeStore(spark, f"{Workspace(spark, 'versions').root}/table", width=1024)
     for i in range(4):
         store.append(edges_of(spark, sf_dir).where(F.col("src") % 4 == i), i)
     return store.scan(100, 400, version=2)
@@ -152,7 +151,7 @@ def range_scan_level(spark, sf_dir):
 
 @query("sample_k_level", _with("order_part", ", r AS (SELECT src AS v, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS place, dst AS neighbor FROM e WHERE src % 4 = 1)") + " SELECT v, place, neighbor FROM r WHERE place < 2")
 def sample_k_level(spark, sf_dir):
-    store = EdgeStore(spark, f"{checkpoint_root(spark)}/versions-{uuid.uuid4().hex}", width=1024)
+    store = EdgeStore(spark, f"{Workspace(spark, 'versions').root}/table", width=1024)
     for i in range(2):
         store.append(edges_of(spark, sf_dir).where(F.col("src") % 4 == i), i)
     return access.sample_neighbors(Graph(store.scan(0, 1 << 40, version=1)), 2)
@@ -240,7 +239,7 @@ def adjacency_twoway(spark, sf_dir):
 
 
 def _file(spark: SparkSession, sf_dir: str, bits: int = 64, name: str = "order_part") -> str:
-    path = f"{checkpoint_root(spark)}/edges-{uuid.uuid4().hex}"
+    path = Workspace(spark, "edges").root
     binary.write_edges(edges_of(spark, sf_dir, name), path, bits)
     return path
 
@@ -254,7 +253,7 @@ def load_dataset(spark, sf_dir):
 
 def _sorted_file(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """A single file of sorted 64-bit records; returns the folder and the file."""
-    path = f"{checkpoint_root(spark)}/edges-{uuid.uuid4().hex}"
+    path = Workspace(spark, "edges").root
     binary.write_edges(edges_of(spark, sf_dir, "cust_order").coalesce(1).sortWithinPartitions("src", "dst"), path)
     return path, path
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomgraph.functions.scalar import int_div
 from loomgraph.operators.graph import Graph
+from loomgraph.plans.workspace import delete_folder
 
 RANGE = 1 << 17
 
@@ -60,13 +61,11 @@ class EdgeStore:
             return False
         chosen = [v for v, _ in sizes[first:]]
         self.append(self._all().where(F.col("version").isin(chosen)).select("src", "dst"), -1 - chosen[-1])
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = lambda v: jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={v}")
-        fs = path(0).getFileSystem(conf)
+        sc = self.spark.sparkContext
         for v in chosen:
-            fs.delete(path(v), True)
-        fs.rename(path(-1 - chosen[-1]), path(chosen[-1]))
+            delete_folder(sc, f"{self.path}/version={v}")
+        path = lambda v: sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={v}")
+        path(0).getFileSystem(sc._jsc.hadoopConfiguration()).rename(path(-1 - chosen[-1]), path(chosen[-1]))
         return True
 
 
