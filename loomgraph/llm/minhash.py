@@ -1,7 +1,7 @@
 """Near-duplicate documents by min-max hashing of word shingles.
 
 Every permutation of the shingle hashes gives two values, its minimum and its maximum, so a signature of
-256 values costs 128 hash evaluations. Bands of values are bucket keys; the number of values in a band
+320 values costs 160 hash evaluations. Bands of values are bucket keys; the number of values in a band
 follows from the threshold, so that a pair just at it is missed with probability ``MISS`` or less.
 
 1. One pass over the texts gives each row the size of its shingle set, a 128-bit digest of that set and
@@ -31,11 +31,14 @@ from loomgraph.llm.arrow import bound_batches, map_rows
 from loomgraph.operators.components import star_components
 from loomgraph.plans.workspace import Workspace
 
-PERMUTATIONS = 128
+PERMUTATIONS = 160
 MISS = 1e-4
 #: Members of a family that one task compares with as many others, and their shingles.
 BLOCK = 256
 BLOCK_SHINGLES = 2_000_000
+#: Per-family rows go to every task up to this number and size; beyond it they are joined by shuffling.
+BROADCAST_FAMILIES = 20_000
+BROADCAST_BYTES = 8_000_000
 _WORDS_KEPT = 150_000
 _U64 = np.uint64
 
@@ -172,7 +175,10 @@ def _large_families(sets: DataFrame, stars: DataFrame, families: DataFrame, comp
     """
     centres = stars.groupBy("v").agg(F.count("*").alias("n")).join(families, "v")
     pivots = centres.groupBy("component").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("pivot"))
-    pivot_sets = sets.join(pivots, "component").where("v = pivot").groupBy("component", "pivot").agg(F.max("shingles").alias("pivot_shingles"))
+    pivot_sets = work.save(sets.join(pivots, sets["v"] == pivots["pivot"]).groupBy(pivots["component"], "pivot").agg(F.max("shingles").alias("pivot_shingles")))
+    size = pivot_sets.agg(F.count("*").alias("n"), F.sum(F.length("pivot_shingles")).alias("bytes")).first()
+    few = size["n"] <= BROADCAST_FAMILIES
+    light = lambda df, fits: F.broadcast(df) if fits else df
 
     def measure():
         def one(v, component, shingles, pivot, pivot_shingles):
@@ -182,7 +188,7 @@ def _large_families(sets: DataFrame, stars: DataFrame, families: DataFrame, comp
 
         return one
 
-    pairs = sets.join(pivot_sets, "component").select("v", "component", "shingles", "pivot", "pivot_shingles")
+    pairs = sets.join(light(pivot_sets, few and size["bytes"] <= BROADCAST_BYTES), "component").select("v", "component", "shingles", "pivot", "pivot_shingles")
     measured = work.save(
         map_rows(
             pairs, measure, "v long, component long, pivot long, near boolean, shingles binary",
@@ -201,7 +207,7 @@ def _large_families(sets: DataFrame, stars: DataFrame, families: DataFrame, comp
     among_far = F.transform(upto(F.col("far_blocks")), lambda j: unit("far", F.least("block", j), F.greatest("block", j), F.col("block")))
     for_far = F.concat(among_far, F.transform(upto(F.col("near_blocks")), lambda j: unit("mixed", F.col("block"), j, zero)))
     units = (
-        measured.join(counts, "component").withColumn("block", block)
+        measured.join(light(counts, few), "component").withColumn("block", block)
         .select("v", "component", "shingles", F.explode(F.when(F.col("near"), for_near).otherwise(for_far)).alias("unit")).select("v", "component", "shingles", "unit.*")
     )
     found = units.groupBy("component", "kind", "first", "second").applyInPandas(compare, "u long, v long")
