@@ -234,7 +234,7 @@ def near_duplicates(
         .select(F.col("rep"), F.explode("bands").alias("key"))
     )
     buckets = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    stars = keys.join(buckets, "key").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
+    stars = work.save(keys.join(buckets, "key").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v")), "uncompressed")
     families = star_components(stars, work)
 
     sized = families.join(
