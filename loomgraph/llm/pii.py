@@ -8,7 +8,9 @@ digits replace digits in the mention's own punctuation, cards keep issuer digit
 addresses keep their shape and script, names keep gender, script and capitals, and the honorific.
 
 Collision check: the distinct entities' surrogates are compared with each other and with all real
-entities of their kind. Whoever shares one takes a further attempt, until all differ. Only entities
+entities of their kind. Whoever shares one takes a further attempt, until all differ. Names and local
+parts of addresses grow with each attempt, so no number of entities exhausts them; numbers keep their
+length, and have about as many surrogates as there are real ones. Only entities
 with an attempt above 0 need a lookup, which reaches the documents as a small map; as long as there is
 none, texts are rewritten where they are read, without a shuffle.
 
@@ -23,6 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomgraph.plans.workspace import Workspace
 
 ATTEMPTS = 100
+#: The most syllables that attempts add to a name: as many as the digest has digits for.
+SYLLABLES = 28
 
 # Honorifics by gender, and given names whose gender settles a neutral honorific.
 MALE = "Mr|Mister|Herr|Monsieur|Señor|Sr|Signor|Господин|господин".split("|")
@@ -145,15 +149,17 @@ def surrogate(key: Column, attempt: Column, secret: str) -> Column:
         ),
         "",
     )
-    filler = F.substring(F.reverse(latin), F.lit(1), F.greatest(F.lit(0), 8 - F.length(local)))
+    filler = F.substring(F.reverse(latin), F.lit(1), F.greatest(F.lit(0), 8 - F.length(local)) + attempt)
     domain = F.regexp_extract(norm, "@(.*)$", 1)
     host = F.substring(F.sha2(text(secret, _SEPARATOR, "domain", _SEPARATOR, domain), 256), 1, 8)
     top = F.regexp_extract(domain, r"\.(com|org|net)$", 1)
     email = text(written, filler, "@m", host, ".example.", F.when(top == "", "org").otherwise(top))
 
     def word(pattern: str, ending: str, consonants: str, vowels: str) -> Column:
-        letters = [F.translate(F.substring(h, i + 1, 1), _HEX, consonants if p == "c" else vowels) for i, p in enumerate(pattern)]
-        return F.concat(*letters, F.lit(ending))
+        letter = lambda p, i: F.translate(F.substring(h, i, F.lit(1)), _HEX, consonants if p == "c" else vowels)
+        more = F.transform(F.sequence(F.lit(1), F.least(attempt, F.lit(SYLLABLES))), lambda i: F.concat(letter("c", 2 * i + 6), letter("v", 2 * i + 7)))
+        longer = F.when(attempt > 0, F.array_join(more, "")).otherwise("")
+        return F.concat(longer, *(letter(p, F.lit(i + 1)) for i, p in enumerate(pattern)), F.lit(ending))
 
     names = [
         ("given-latin-f", "cvcvc", "a", False), ("given-latin-m", "cvcvc", "", False), ("given-latin-u", "cvcv", "ne", False),

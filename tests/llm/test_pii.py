@@ -77,6 +77,14 @@ def test_collisions_are_resolved(spark, monkeypatch, pool):
     assert len(set(found)) == len(names) and not set(found) & {f"s{i}" for i in range(5)}
 
 
+def test_more_entities_than_short_names(spark):
+    """A given name of unknown gender has 6,400 surrogates at the first attempt."""
+    keys = spark.range(7000).select(F.concat(F.lit("given-latin-u\x1fq"), F.col("id").cast("string")).alias("entity"))
+    again = pii.settled_attempts(keys, "k", Workspace(spark, "t"))
+    final = keys.join(again, "entity", "left").select(pii.surrogate(F.col("entity"), F.coalesce("attempt", F.lit(0)), "k").alias("s"))
+    assert final.distinct().count() == 7000 and final.where("not s rlike '^([a-z][aeiou])+ne$'").isEmpty()
+
+
 def test_lookup_path(spark, monkeypatch):
     """With attempts above 0, all mentions still agree and differ from others'."""
     real = pii.surrogate
