@@ -1,7 +1,10 @@
 """Surrogates for personal data, in DataFrame expressions only.
 
 Entities are found by pattern: e-mail addresses, phone numbers, IPv4 addresses, payment cards (with a
-valid checksum), social security numbers, and names after an honorific. An entity has a kind and a normal form (case and
+valid checksum), social security numbers, and names after one or more honorifics. A name is all capitalised
+words and initials that follow, with particles between them: the first word is the given name if another
+comes after it, all others are surnames, each an entity of its own; particles stay. Domains may be in any
+script. International numbers have 8 to 15 digits in any groups, those after +1 have 11. An entity has a kind and a normal form (case and
 punctuation do not count), and its surrogate is made from a keyed digest of both and an attempt number,
 so that all mentions of an entity, in any document, agree without any lookup. Surrogates fit their kind:
 digits replace digits in the mention's own punctuation, cards keep issuer digit and checksum validity,
@@ -37,19 +40,25 @@ GIVEN_MALE = "john james robert michael david peter paul thomas mark hans karl j
 
 _HONORIFIC = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=lambda x: (-len(x), x)))
 _FIRST = "".join(sorted({x[0] for x in MALE + FEMALE + NEUTRAL}))
-_NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
+_HONORIFICS = rf"(?:(?:{_HONORIFIC})\.?[ ])+"
+PARTICLES = "de|del|della|di|da|do|dos|das|du|des|la|las|le|les|los|van|von|vom|zu|zum|zur|der|den|dem|het|ten|ter|af|av|el|al|bin|ibn|y".split("|")
+_PARTICLE = rf"(?:{'|'.join(PARTICLES)})[ ]"
+# A word or an initial; another honorific with a name begins a name of its own.
+_WORD = rf"(?!(?:{_HONORIFIC})\.?[ ]\p{{Lu}})\p{{Lu}}(?:[\p{{L}}\p{{M}}'’-]++|\.(?=[ ]\p{{Lu}}))"
+_LABEL = r"[\p{L}\p{M}\p{N}-]{1,63}+"
+_TOP = r"(?:xn--[A-Za-z0-9-]{2,59}|\p{IsLatin}[\p{IsLatin}\p{M}]{1,62}|[\p{L}\p{M}&&\P{IsLatin}]{2,63})"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:" + _LABEL + r"\.){1,127}" + _TOP,
+    "phone": r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[2-9](?:(?:[ ./-]|[ .-]?\(|\)[ ./-]?)?[0-9]){7,14}(?![0-9])|\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "card": r"(?<![0-9A-Za-z])[2-6][0-9]{3}(?:[ -][0-9]{4}){3}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[2-6][0-9]{12,18}(?![0-9A-Za-z])",
-    "name": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_HONORIFIC})\.?[ ]{_NAME}(?:[ ]{_NAME})?",
+    "name": rf"(?=[{_FIRST}])(?<!\p{{L}}){_HONORIFICS}(?:{_PARTICLE})*+{_WORD}(?:[ ](?:{_PARTICLE})*+{_WORD})*+",
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold to have any entity; cheap to test.
-HINT = rf"[0-9@]|(?=[{_FIRST}])(?:{_HONORIFIC})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?=[{_FIRST}])(?:{_HONORIFIC})\.? (?:{_PARTICLE})*\p{{Lu}}"
 
 _HEX = "0123456789abcdef"
 _CONSONANTS, _VOWELS = "bcdfghklmnprstvz", "aeiouaeioaeiuaeo"
@@ -73,14 +82,20 @@ def kind_of(mention: Column) -> Column:
     )
 
 
-def _gender(honorific: Column, given: Column) -> Column:
-    plain = F.regexp_replace(honorific, r"\.$", "")
+def _gender(honorifics: Column, given: Column) -> Column:
+    any_of = lambda words: rf"(?:^| )(?:{'|'.join(words)})\.? "
     return (
-        F.when(plain.isin(*MALE), "m").when(plain.isin(*FEMALE), "f")
+        F.when(_has(honorifics, any_of(MALE)), "m").when(_has(honorifics, any_of(FEMALE)), "f")
         .when(F.lower(given).isin(*GIVEN_MALE), "m").when(F.lower(given).isin(*GIVEN_FEMALE), "f").otherwise("u")
     )
 
 
+def _name_parts(mention: Column) -> tuple[Column, Column]:
+    """The honorifics, with the space after them, and the words of the name."""
+    honorifics = F.regexp_extract(mention, f"^{_HONORIFICS}", 0)
+    return honorifics, F.split(F.substring(mention, F.length(honorifics) + 1, F.length(mention)), " ")
+
+
 def _script(word: Column) -> Column:
     return F.when(_has(word, r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
 
@@ -90,18 +105,26 @@ def _key(kind: Column | str, norm: Column) -> Column:
 
 
 def entity_keys(mention: Column) -> Column:
-    """The entities in a mention: kind and normal form, joined. A name has two if given and surname are there."""
+    """The entities in a mention: kind and normal form, joined. A name has one for each word that is no particle."""
+    return F.filter(_keys(mention), lambda k: k.isNotNull())
+
+
+def _keys(mention: Column) -> Column:
+    """The entities in a mention; those of a name stand at the places of its words, with nulls for particles."""
     digits = F.regexp_replace(mention, "[^0-9]", "")
     country = F.regexp_extract(mention, r"^\+([0-9]{1,3}?)(?=[ .(-])", 1)
-    words = F.split(mention, " ")
-    gender = _gender(F.element_at(words, 1), F.element_at(words, 2))
-    surname = F.element_at(words, -1)
-    surname_key = _key(F.concat_ws("-", F.lit("surname"), _script(surname), gender), F.lower(surname))
-    given = F.element_at(words, 2)
-    given_key = _key(F.concat_ws("-", F.lit("given"), _script(given), gender), F.lower(given))
+    honorifics, words = _name_parts(mention)
+    gender = _gender(honorifics, F.element_at(words, 1))
+    named = F.transform(
+        words,
+        lambda w, i: F.when(
+            ~w.isin(*PARTICLES),
+            _key(F.concat_ws("-", F.when((i == 0) & (F.size(words) > 1), "given").otherwise("surname"), _script(w), gender), F.lower(w)),
+        ),
+    )
     kind = kind_of(mention)
     return (
-        F.when(kind == "name", F.when(F.size(words) > 2, F.array(given_key, surname_key)).otherwise(F.array(surname_key)))
+        F.when(kind == "name", named)
         .when(kind == "email", F.array(_key("email", F.lower(mention))))
         .when(kind == "ip", F.array(_key("ip", mention)))
         .when(kind == "phone", F.array(_key("phone", F.concat(country, F.lit("-"), F.substring(digits, F.length(country) + 1, F.length(digits))))))
@@ -174,11 +197,11 @@ def surrogate(key: Column, attempt: Column, secret: str) -> Column:
 
 
 def _cased(surrogate_word: Column, original: Column) -> Column:
-    return F.when((original == F.upper(original)) & (original != F.lower(original)) & (F.length(original) > 1), F.upper(surrogate_word)).otherwise(surrogate_word)
+    return F.when((original == F.upper(original)) & (original != F.lower(original)) & ~_has(original, r"^.\.?$"), F.upper(surrogate_word)).otherwise(surrogate_word)
 
 
 def render(mention: Column, surrogates: Column) -> Column:
-    """The mention with the surrogates of its entities in place of them."""
+    """The mention with the surrogates of its entities, in the order of _keys, in place of them."""
     first = F.try_element_at(surrogates, F.lit(1))
     digits = F.regexp_replace(first, "[^0-9]", "")
     chars = F.split(mention, "")
@@ -192,12 +215,8 @@ def render(mention: Column, surrogates: Column) -> Column:
         ),
         "",
     )
-    words = F.split(mention, " ")
-    named = F.concat_ws(
-        " ", F.element_at(words, 1),
-        F.when(F.size(words) > 2, _cased(F.initcap(first), F.element_at(words, 2))),
-        _cased(F.initcap(F.try_element_at(surrogates, F.lit(-1))), F.element_at(words, -1)),
-    )
+    honorifics, words = _name_parts(mention)
+    named = F.concat(honorifics, F.array_join(F.zip_with(words, surrogates, lambda w, x: F.when(x.isNull(), w).otherwise(_cased(F.initcap(x), w))), " "))
     kind = kind_of(mention)
     return F.when(F.size(surrogates) == 0, mention).when(kind == "name", named).when(kind == "email", _cased(first, mention)).when(kind == "ip", first).otherwise(replaced)
 
@@ -251,7 +270,7 @@ def replace_personal_data(docs: DataFrame, secret: str, id_col: str = "doc_id",
         attempts = F.coalesce(F.col(tries), F.create_map().cast("map<string,int>"))
     text = F.col(text_col)
     gaps = F.split(text, ANY, -1)
-    one = lambda m: render(m, F.transform(entity_keys(m), lambda k: surrogate(k, F.coalesce(F.try_element_at(attempts, k), F.lit(0)), secret)))
+    one = lambda m: render(m, F.transform(_keys(m), lambda k: surrogate(k, F.coalesce(F.try_element_at(attempts, k), F.lit(0)), secret)))
     filled = F.concat(F.transform(_all(text), one), F.array(F.lit("")))
     written = F.array_join(F.zip_with(gaps, filled, lambda g, r: F.concat(g, r)), "")
     out = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: F.when(text.rlike(HINT), written).otherwise(text).alias(text_col)}

@@ -77,6 +77,24 @@ def test_collisions_are_resolved(spark, monkeypatch, pool):
     assert len(set(found)) == len(names) and not set(found) & {f"s{i}" for i in range(5)}
 
 
+def test_whole_entities(spark):
+    texts = [
+        "Señora Ana García López y Señora López", "Mr John Paul Smith and Mr. Smith", "Herr Dr. Karl von der Heide", "Mrs van Dyke", "Mr John F. Kennedy Mrs Mary Kennedy",
+        "max@münchen.de", "иван@почта.пример.рф", "a@a.b.c.d.e.f.g.h.i.j.example.com",
+        "+33 1 23 45 67 89", "+49 30/1234 5678 90", "+44 (0)20 7946 0958", "+1 212 555 0199 2024",
+    ]
+    out = [r["text"] for r in pii.replace_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    name = r"[A-Z][a-z]+"
+    for text, pattern in zip(out, [
+        rf"Señora {name} {name} ({name}) y Señora \1", rf"Mr {name} {name} ({name}) and Mr\. \1", rf"Herr Dr\. {name} von der {name}", rf"Mrs van {name}", rf"Mr {name} {name} {name} Mrs {name} {name}",
+        r"\S+@m[0-9a-f]{8}\.example\.org", r"\S+@m[0-9a-f]{8}\.example\.org", r"\S+@m[0-9a-f]{8}\.example\.com",
+        r"\+33 \d \d\d \d\d \d\d \d\d", r"\+49 \d\d/\d{4} \d{4} \d\d", r"\+44 \(\d\)\d\d \d{4} \d{4}", r"\+1 \d{3} \d{3} \d{4} 2024",
+    ]):
+        assert re.fullmatch(pattern, text), text
+    real = "Ana García López John Paul Smith Karl Heide Dyke F. Kennedy Mary max иван 1 23 45 67 89".split()
+    assert not [w for w in real if any(re.search(rf"(?<![\w+]){re.escape(w)}(?!\w)", t) for t in out[:8])] and all(a != b for a, b in zip(out, texts))
+
+
 def test_more_entities_than_short_names(spark):
     """A given name of unknown gender has 6,400 surrogates at the first attempt."""
     keys = spark.range(7000).select(F.concat(F.lit("given-latin-u\x1fq"), F.col("id").cast("string")).alias("entity"))
