@@ -1,8 +1,9 @@
 """Secret scan through nested encodings.
 
 Each text starts a worklist of layers. A layer is scanned for secrets, then unwrapped in every way that
-applies: percent escapes and Unicode escapes over the whole layer, base64 runs one by one, and zlib or
-gzip data inside base64. What comes out are new layers, unless their content has been seen (this ends
+applies: percent escapes and Unicode escapes over the whole layer, base64 runs one by one and joined over
+line ends, each at all four alignments (a run may begin with a path or a name), and zlib or gzip data
+wherever it begins in decoded bytes. Bytes that are not UTF-8 are read as Latin-1. What comes out are new layers, unless their content has been seen (this ends
 cycles). The worklist runs until no layer is left. Every finding is mapped back, layer by layer, to the
 code points of the original text that carry it.
 
@@ -14,7 +15,6 @@ equal results; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -43,6 +43,10 @@ _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: The shortest base64 run that can hold the shortest secret, 16 hex digits.
 _BASE64_LEAST = 22
 _BASE64 = re.compile("[A-Za-z0-9+/_-]{%d,}={0,2}" % _BASE64_LEAST)
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]++(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)++={0,2}")
+_BREAK = re.compile(r"\s+")
+#: First bytes of gzip and of zlib without a preset dictionary.
+_HEAD = re.compile(b"\x1f\x8b\x08|" + b"|".join(re.escape(bytes((a, b))) for a in range(8, 128, 16) for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32))
 _PERCENT = re.compile("(?:%[0-9A-Fa-f]{2})+")
 _ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)")
@@ -107,6 +111,10 @@ def _percent(run: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _percent_bytes(run: str) -> list[tuple[str, int, int]]:
+    return [(chr(c), 3 * i, 3 * i + 3) for i, c in enumerate(bytes.fromhex(run.replace("%", "")))]
+
+
 def _escapes(run: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     for m in _ESCAPE.finditer(run):
@@ -119,60 +127,109 @@ def _escapes(run: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and not any(c < " " and c not in "\t\n\r" for c in text) else None
-
-
-def _inflate(raw: bytes) -> bytes | None:
-    if not (raw[:3] == b"\x1f\x8b\x08" or len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
+def _inflate(raw: bytes, start: int) -> tuple[bytes, int] | None:
+    """What the data at ``start`` unpacks to, and where it ends."""
     worker = zlib.decompressobj(47)
     try:
-        out = worker.decompress(raw, MAX_LAYER)
+        out = worker.decompress(memoryview(raw)[start:], MAX_LAYER)
     except zlib.error:
         return None
-    return out if worker.eof else None
+    return (out, len(raw) - len(worker.unused_data)) if worker.eof else None
+
+
+def _packed(raw: bytes) -> list[tuple[int, int, bytes]]:
+    """start, end and content of all compressed data; what follows without a gap belongs together."""
+    found: list[tuple[int, int, list[bytes], int]] = []
+    at = 0
+    while m := _HEAD.search(raw, at):
+        start, at = m.start(), m.start() + 1
+        if (inflated := _inflate(raw, start)) is None:
+            continue
+        out, at = inflated
+        if found and found[-1][1] == start and found[-1][3] + len(out) <= MAX_LAYER:
+            first, _, parts, size = found.pop()
+            parts.append(out)
+            found.append((first, at, parts, size + len(out)))
+        else:
+            found.append((start, at, [out], len(out)))
+    return [(a, b, b"".join(parts)) for a, b, parts, _ in found]
+
+
+Mapping = Callable[[int, int], tuple[int, int]]
 
 
-def _unwrapped(text: str, raw: bytes) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int]]]]:
+def _unpacked(raw: bytes, place: Mapping) -> Iterator[tuple[str, Mapping]]:
+    """The texts of all compressed data in ``raw``, also inside each other."""
+    work, known = [(raw, place)], set()
+    while work:
+        raw, place = work.pop()
+        for a, b, inner in _packed(raw):
+            at = place(a, b)
+            key = (at, hashlib.blake2b(inner, digest_size=16).digest())
+            if key not in known:  # data that unpacks to itself ends here
+                known.add(key)
+                whole = lambda a, b, at=at: at
+                work.append((inner, whole))
+                yield _text(inner)[0], whole
+
+
+def _text(raw: bytes) -> tuple[str, bool]:
+    """The bytes as text, and whether each character is one byte."""
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1"), True
+    return text, len(text) == len(raw)
+
+
+def _runs(text: str, raw: bytes) -> Iterator[tuple[str, list[int] | range, int]]:
+    """Base64 runs without padding, the place of each character, and the end with the padding."""
+    if b"\x01" * _BASE64_LEAST in raw.translate(_BASE64_CLASS):
+        for m in _BASE64.finditer(text):
+            run = m.group().rstrip("=")
+            yield run, range(m.start(), m.start() + len(run)), m.end()
+    if b"\n" in raw:
+        for m in _WRAPPED.finditer(text):
+            if m.end() - m.start() <= _BASE64_LEAST:
+                continue
+            body = m.group().rstrip("=")
+            run = _BREAK.sub("", body)
+            if len(run) >= _BASE64_LEAST:
+                yield run, [m.start() + i for i, c in enumerate(body) if c not in " \t\r\n"], m.end()
+
+
+def _unwrapped(text: str, raw: bytes) -> Iterator[tuple[str, Mapping]]:
     """The layers directly inside ``text``, each with the mapping of its spans."""
     if b"%" in raw and _PERCENT.search(text):
         layer = _Replaced(text, _PERCENT, _percent)
         yield layer.text, layer.span
+        layer = _Replaced(text, _PERCENT, _percent_bytes)
+        yield from _unpacked(layer.text.encode("latin-1", "replace"), layer.span)
     if b"\\" in raw and _ESCAPES.search(text):
         layer = _Replaced(text, _ESCAPES, _escapes)
         yield layer.text, layer.span
-    if b"\x01" * _BASE64_LEAST not in raw.translate(_BASE64_CLASS):
-        return
-    for m in _BASE64.finditer(text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        run = run[:-1] if len(run) % 4 == 1 else run
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        packed, known = _inflate(data), set()
-        if packed is not None:
-            while packed is not None and packed not in known:  # data that unpacks to itself ends here
-                known.add(data)
-                data, packed = packed, _inflate(packed)
-            if (inner := _readable(data)) is not None:
-                yield inner, lambda a, b, s=m.start(), e=m.end(): (s, e)
-        else:
-            inner = _readable(data)
-            if inner is not None:
-                ends = None if len(inner) == len(data) else inner
-
-                def span(a, b, s=m.start(), e=m.end(), wide=ends):
-                    if wide is not None:
-                        a, b = len(wide[:a].encode()), len(wide[:b].encode())
-                    return s + a * 8 // 6, min(e, s - (-b * 8 // 6))
-
-                yield inner, span
+        yield from _unpacked(layer.text.encode("latin-1", "replace"), layer.span)
+    for run, places, full in _runs(text, raw):
+        run = run.replace("-", "+").replace("_", "/")
+        for skip in range(4):
+            if len(run) - skip < _BASE64_LEAST:
+                break
+            part = run[skip:-1] if (len(run) - skip) % 4 == 1 else run[skip:]
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+
+            def place(a, b, p=places, k=skip):
+                return p[k + a * 8 // 6], p[min(len(p), k - (-b * 8 // 6)) - 1] + 1
+
+            def whole(a, b, place=place, size=len(data), e=full):
+                start, end = place(a, b)
+                return start, e if b == size else end
+
+            inner, narrow = _text(data)
+            if narrow:
+                yield inner, place
+            else:
+                yield inner, lambda a, b, place=place, wide=inner: place(len(wide[:a].encode()), len(wide[:b].encode()))
+            yield from _unpacked(data, whole)
 
 
 def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -178,6 +178,28 @@ def test_layers():
     assert enclosed("\\ud83d\\ude00 " + "\\u0041KIA0123456789ABCDEF")[0] == ["\\u0041KIA0123456789ABCDEF"]
 
 
+def test_layers_that_begin_anywhere():
+    b = base64.b64encode(SECRET.encode()).decode()
+    for n in range(4):
+        for lead in ("https://example.org/cb/" + "x" * n + "/", "cfg_" + "y" * n + "_", "blob-" + "z" * n + "-"):
+            found, base = enclosed(lead + b)
+            assert not base and len(found) == 1 and len(found[0]) >= len(b.rstrip("=")) - 4 and found[0] in b, (lead, found)
+            assert len(enclosed(lead + base64.b64encode(zlib.compress(SECRET.encode())).decode())[0]) == 1
+    other = [b"caf\xe9 " + SECRET.encode(), SECRET.encode() + b"\0tail", b"\xff\xfe\x01" + SECRET.encode()]
+    packed = zlib.compress(SECRET.encode())
+    members = gzip.compress(SECRET[:14].encode()) + gzip.compress(SECRET[14:].encode())
+    other += [packed + b"tail", b"head" + packed, zlib.compress(b"nothing") + packed, members, zlib.compress(b"caf\xe9 " + b.encode())]
+    for raw in other:
+        assert len(enclosed(f"é {base64.b64encode(raw).decode()} after")[0]) == 1, raw
+    for text in ("d=" + urllib.parse.quote(packed, safe=""), "d='" + "".join(f"\\x{c:02x}" for c in packed) + "'"):
+        assert [len(x) >= len(text) - 8 for x in enclosed(text)[0]] == [True], text
+    for width in (10, 64):
+        long = base64.b64encode(b"nothing of note, " * 4 + SECRET.encode()).decode()
+        for end in ("\n", "\r\n  "):
+            found, base = enclosed("key:\n" + end.join(long[i : i + width] for i in range(0, len(long), width)) + "\nend")
+            assert not base and found, (width, end)
+
+
 def test_worklist_ends():
     for text in ("%25" * 2000, "A" * 5000, base64.b64encode(b"A" * 3000).decode(), "\\u005cu005c" * 50, "%", "\\u", "%%%41", "\\u{110000}", "=" * 100):
         secrets.find_secrets(text)
