@@ -6,10 +6,12 @@ linear softmax scores the languages. Embeddings and weights are trained in numpy
 descent on a bounded sample of labelled rows: ``SAMPLE_ROWS`` distinct texts and ``SAMPLE_CHARS``
 characters in expectation, shared out evenly among the languages. A fifth of the sample is left out of
 training and calibrates the result: a temperature for the scores, and two limits for rejection (a score,
-and a share of known subwords), each passed by all but ``FALSE_REJECTS`` of that fifth.
+and a share of known subwords), each passed by all but ``FALSE_REJECTS`` of that fifth. Known are the 3-
+and 4-grams of the training texts, by 32-bit hashes and not by buckets, which other languages hit as well.
 
 As the model is linear, prediction adds up one row of class scores for each subword of the whole text.
-The table that tasks receive has ``BUCKETS`` rows, however large the corpus.
+The table that tasks receive has ``BUCKETS`` rows, and the known hashes are at most two for each character
+of the sample, however large the corpus.
 
 Null texts and texts without a letter get ``und``, score 0, rejected. If nothing is labelled, all others get
 ``und``, score 0, not rejected.
@@ -44,8 +46,8 @@ def has_letter(text: str | None) -> bool:
     return m.group().isalpha() or any(map(str.isalpha, text))
 
 
-def subwords(text: str) -> np.ndarray:
-    """The bucket of every subword of the whole text."""
+def _hashes(text: str) -> list[np.ndarray]:
+    """The 32-bit hashes of all subwords of the whole text, by length."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     c = np.where(c < 65, np.uint32(32), c)
     keep = np.ones(len(c), bool)
@@ -58,50 +60,69 @@ def subwords(text: str) -> np.ndarray:
         if len(c) < n:
             break
         grams = (grams[:-1] * np.uint32(31)) ^ h[n - 1 :]
-        out.append(((grams ^ (grams >> np.uint32(13))) * _STEP) >> np.uint32(16))
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+        out.append((grams ^ (grams >> np.uint32(13))) * _STEP)
+    return out
+
+
+def _buckets(hashes: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(hashes) >> np.uint32(16) if hashes else np.empty(0, np.uint32)
+
+
+def subwords(text: str) -> np.ndarray:
+    """The bucket of every subword of the whole text."""
+    return _buckets(_hashes(text))
 
 
 class Model:
-    """languages, a table of class scores (last column: 1 for known subwords), temperature and limits."""
+    """languages, a table of class scores, the sorted hashes of known subwords, temperature and limits."""
 
-    def __init__(self, languages: list[str], table: np.ndarray, temperature: float = 1.0, least_score: float = 0.0, least_known: float = 0.0):
-        self.languages, self.table = languages, table
+    def __init__(self, languages: list[str], table: np.ndarray, known: np.ndarray, temperature: float = 1.0, least_score: float = 0.0, least_known: float = 0.0):
+        self.languages, self.table, self.known = languages, table, known
         self.temperature, self.least_score, self.least_known = temperature, least_score, least_known
 
-    def sums(self, text: str) -> np.ndarray:
-        ids = subwords(text)
+    def sums(self, text: str) -> tuple[np.ndarray, float]:
+        """The averaged class scores, and the share of known subwords (1 if none is long enough)."""
+        hashes = _hashes(text)
+        ids = _buckets(hashes)
         total = np.zeros(self.table.shape[1])
         for at in range(0, len(ids), _PART):
             total += self.table[ids[at : at + _PART]].sum(axis=0, dtype=np.float64)
-        return total / max(1, len(ids))
+        size = sum(map(len, hashes[1:]))
+        known = sum(int((self.known[np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)] == h).sum()) for h in hashes[1:]) if len(self.known) else 0
+        return total / max(1, len(ids)), known / size if size else 1.0
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not has_letter(text):
             return "und", 0.0, True
         if not self.languages:
             return "und", 0.0, False
-        mean = self.sums(text)
-        z = mean[:-1] / self.temperature
+        mean, known = self.sums(text)
+        z = mean / self.temperature
         p = np.exp(z - z.max())
         best = int(p.argmax())
         score = float(p[best] / p.sum())
-        return self.languages[best], score, score < self.least_score or float(mean[-1]) < self.least_known
+        return self.languages[best], score, score < self.least_score or known < self.least_known
 
 
 def train(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((BUCKETS, 1), np.float32))
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.empty(0, np.uint32))
     rng = np.random.default_rng(seed)
     y = np.array([languages.index(x) for x in labels])
     held = rng.random(len(texts)) < 0.2
     if held.all() or not held.any() or len(set(y[~held])) < len(languages):
         held[:] = False
     seen = np.zeros(BUCKETS, np.int64)
+    known = np.empty(0, np.uint32)
+    fresh: list[np.ndarray] = []
     docs = {}
     for i in np.flatnonzero(~held):
-        ids, times = np.unique(subwords(texts[i]), return_counts=True)
+        hashes = _hashes(texts[i])
+        fresh += [np.unique(h) for h in hashes[1:]]
+        if sum(map(len, fresh)) > 1 << 20:
+            known, fresh = np.unique(np.concatenate([known, *fresh])), []
+        ids, times = np.unique(_buckets(hashes), return_counts=True)
         if len(ids):
             docs[i] = (ids, (times / times.sum()).astype(np.float32))
             seen[ids] += times
@@ -124,28 +145,28 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model:
             back = w @ g
             w -= np.outer(v, g)
             e[ids] -= 20 * part[:, None] * back
-    table = np.concatenate([e @ w, (seen > 0)[:, None]], axis=1).astype(np.float32)
-    table[seen == 0, :-1] = 0  # untrained embeddings say nothing
-    model = Model(languages, table)
+    table = (e @ w).astype(np.float32)
+    table[seen == 0] = 0  # untrained embeddings say nothing
+    model = Model(languages, table, np.unique(np.concatenate([known, *fresh])))
     rows = [i for i in (np.flatnonzero(held) if held.any() else np.arange(len(texts))) if has_letter(texts[i])]
     if not rows:
         return model
-    sums = np.array([model.sums(texts[i]) for i in rows])
+    sums, shares = map(np.array, zip(*(model.sums(texts[i]) for i in rows)))
     truth = y[rows]
 
     def scores(t: float) -> np.ndarray:
-        z = sums[:, :-1] / t
+        z = sums / t
         p = np.exp(z - z.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
     loss = lambda t: -np.log(np.maximum(scores(t)[np.arange(len(rows)), truth], 1e-12)).mean()
-    model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
+    model.temperature = float(min(np.geomspace(0.005, 50, 120), key=loss))
     p = scores(model.temperature)
     right = p.argmax(axis=1) == truth
-    # A limit just below the given quantile of the right ones; with few of them, below the lowest.
+    # A limit at the given quantile of the right ones; with few of them, at the lowest.
     low = lambda x: float(np.sort(x)[int(FALSE_REJECTS * len(x))]) if len(x) else 0.0
-    model.least_score = min(0.4, 0.8 * low(p.max(axis=1)[right]))
-    model.least_known = 0.5 * low(sums[right, -1])
+    model.least_score = low(p.max(axis=1)[right])
+    model.least_known = low(shares[right])
     return model
 
 

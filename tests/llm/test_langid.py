@@ -32,6 +32,27 @@ def test_held_out_accuracy():
     assert abs(sum(s for _, s in confident) / len(confident) - sum(r for r, _ in confident) / len(confident)) < 0.05
 
 
+def test_other_languages_are_rejected():
+    """A model of production size rejects languages and letters it was not trained on, and keeps its own."""
+    rng = random.Random(5)
+    letters = "aeioubcdfghjklmnprstvzwy"
+
+    def language():
+        parts = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 4))) for _ in range(60)]
+        return ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(1500)]
+
+    def text(words):
+        return " ".join(rng.choice(words) for _ in range(rng.randrange(60, 120)))
+
+    own, other = [language() for _ in range(4)], [language() for _ in range(4)]
+    rows = [(text(own[k]), str(k)) for k in range(4) for _ in range(1500)]
+    model = langid.train([t for t, _ in rows], [k for _, k in rows])
+    found = [(model.predict(text(own[k])), str(k)) for k in range(4) for _ in range(100)]
+    assert sum(p[0] == k for p, k in found) >= 396 and sum(p[2] for p, _ in found) <= 4
+    assert sum(model.predict(text(w))[2] for w in other for _ in range(25)) >= 95
+    assert sum(model.predict(text(["".join(rng.choice(letters) for _ in range(6)) for _ in range(100)]))[2] for _ in range(50)) >= 48
+
+
 def test_edges():
     model = langid.train([t for t, _ in sample(50, 1)], [k for _, k in sample(50, 1)])
     for t in (None, "", " ", "12345 !?", "²"):
