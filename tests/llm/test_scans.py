@@ -13,7 +13,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import media, secrets, url_lists, wrapper
+from loomgraph.llm import media, secrets, url_lists
 
 DAY = datetime.date
 
@@ -216,59 +216,3 @@ def test_scan_documents(spark):
     assert by[1]["spans"] == [] and len(by[3]["base"]) == 1 and by[4]["base"][0]["start"] == 500000 and by[5]["base"] == [] and len(by[5]["spans"]) == 1
     assert by[None]["base"][0]["kind"] == "access"
     assert secrets.scan_documents(docs.limit(0)).isEmpty()
-
-
-# ---- page text
-
-
-def texts(page):
-    return wrapper.page_blocks(page)[1]
-
-
-@pytest.mark.parametrize(
-    "page,want",
-    [
-        (None, []), ("", []), ("plain &amp; simple", ["plain & simple"]), ("<p>a<p>b <b>c</b>d", ["a", "b cd"]), ("a < b <i>c</i>", ["a < b c"]),
-        ("<nav>m</nav><article><h1>T&eacute;</h1><p>x\n  y&nbsp;z<br>w</article><footer>f</footer>", ["Té", "x y z w"]),
-        ("<article><p>one<!-- c --> two<script>'</p>'</script>three</p><div class='commentList'>n</div></article><p>out", ["one twothree"]),
-        ("<main><ul><li>1<li>2</ul><aside>no</aside><table><tr><td>a<td>b</table></main>", ["1", "2", "a", "b"]),
-        ("<header>h</header><div class='cookie-notice'>c</div><div id=content>t<form>f</form></div><div class='ad'>x</div>", ["t"]),
-        ("<title>t</title><style>s</style><textarea>q</textarea><p>x", ["x"]), ("<p>unclosed <b attr='>'>bold", ["unclosed bold"]), ("<div>" * 3000 + "deep", ["deep"]),
-        ("<article><article class='comment'>c</article><p>k</p></article>", ["k"]), ("<p>&#x41;&#66;&lt;p&gt;&am&unknown;", ["AB<p>&am&unknown;"]), ("</p></div>x</b>", ["x"]),
-    ],
-)
-def test_blocks(page, want):
-    assert texts(page) == want
-
-
-def test_skeletons_and_templates():
-    text, place = wrapper.skeleton(wrapper.parse("<body><div><p>a<p>b</div><div><p>c</div><p>d</body>")[0])
-    assert text == "(body(div(p),p))" and place == {0: 3, 1: 3, 2: 3, 3: 4}
-    assert [n.label for n in wrapper.read_skeleton(text)] == ["", "body", "div", "p", "p"]
-    t = wrapper.Template()
-    first = t.align("(body(nav,article(h1,p),footer))")
-    other = t.align("(body(nav,div.x,article(h1,p,ul(li),p)))")
-    assert [other[i] for i in (0, 1, 2, 4, 5)] == [first[i] for i in (0, 1, 2, 3, 4)] and len(set(other)) == len(other)
-    assert first[5] in (other[6], other[9])
-    assert t.align("(body(nav,article(h1,p),footer))") == first
-    a, b = (wrapper.read_skeleton(s)[0] for s in ("(b(c,d(e),f))", "(b(d(e,e2),x,f))"))
-    assert wrapper.match_trees(a, b, {}) == 5
-
-
-def page(host, i, body):
-    return (i, f"https://{host}/{i}", f"<html><body><nav>m</nav><article><h1>Title {i}</h1>{body}<p>Share this article</p></article></body></html>", "t")
-
-
-def test_extraction(spark):
-    rows = [page("a.com", i, f"<p>text {i}</p><ul><li>x{i}</li></ul>" if i % 2 else f"<p>text {i}</p>") for i in range(30)]
-    rows += [page("b.com", 100 + i, f"<p>text {i}</p>") for i in range(3)]  # too few to tell
-    rows += [(200 + i, "https://c.com/", "<article><p>the same</p></article>", "t") for i in range(20)]  # copies are one page
-    rows += [(300, None, "<p>no host</p>", "t"), (301, "https://a.com/", None, "t"), (302, "http://[bad", "", "t"), (None, "https://a.com/x", "<p>" + "long " * 40000, "t"), (303, "", "<p>q", "t")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
-    out = wrapper.extract_text(pages).collect()
-    assert len(out) == len(rows)
-    by = {r["page_id"]: r["text"] for r in out}
-    assert by[0] == "Title 0\ntext 0" and by[3] == "Title 3\ntext 3\nx3" and by[101] == "Title 101\ntext 1\nShare this article"
-    assert by[205] == "the same" and by[300] == "no host" and by[301] == "" and by[302] == "" and by[303] == "q" and len(by[None]) == 199999
-    assert all(r["n_chars"] == len(r["text"]) for r in out)
-    assert wrapper.extract_text(pages.limit(0)).isEmpty()
