@@ -6,17 +6,18 @@ follows from the threshold, so that a pair just at it is missed with probability
 
 1. One pass over the texts gives each row the size of its shingle set, a 128-bit digest of that set and
    the band keys. Rows with equal sets form a class, represented by its smallest id.
-2. Representatives that share a bucket are linked to the smallest of the bucket, which spans everything
-   that buckets connect, without pairs. Components of these links are families.
-3. The families' shingle sets are made again from the texts and compared in full: a family in one task
-   if it is small. In a larger one all are compared with a pivot; those near it are connected, and the
-   others are compared by pairs of blocks, so no task grows with a family. Tasks return spanning
-   forests of what is linked, never the pairs.
-4. Components of the forests, spread to the classes' members, are the result.
+2. In each bucket all are compared in full with its pivot, the smallest representative: one pair for each
+   member, and one for pairs that meet in several buckets. A pivot's members are dealt to parts, which are read in order.
+3. What is linked forms components. Buckets that lie in one component are done; in the few others, what is
+   far from the pivot is compared block by block, as far as the distances to the pivot leave a link possible.
+   Nothing is joined by buckets alone, so chains of half-similar texts stay apart.
+4. Components of all links, spread to the classes' members, are the result.
 
 Words are what white space (ASCII) separates; A-Z count as lower case. A text with fewer words than a
-shingle has one shingle, all of it. Null and empty texts have none and link with nothing. Rows with
-equal ids are not told apart; a null id never represents a class unless all ids of it are null.
+shingle has one shingle, all of it. Null and empty texts have none and link with nothing. Repeated rows are
+copies of each other. Rows with equal ids are one document, linked with whatever one of its texts is. A row without an id takes part,
+but never represents others: its component is null if no row in it has an id, and it is kept only then.
+An empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,13 +34,17 @@ from loomgraph.plans.workspace import Workspace
 
 PERMUTATIONS = 160
 MISS = 1e-4
-#: Members of a family that one task compares with as many others, and their shingles.
+#: Members of a bucket that one task compares with as many others, and their shingles.
 BLOCK = 256
 BLOCK_SHINGLES = 2_000_000
-#: Per-family rows go to every task up to this number and size; beyond it they are joined by shuffling.
-BROADCAST_FAMILIES = 20_000
-BROADCAST_BYTES = 8_000_000
-_WORDS_KEPT = 150_000
+#: Members of a hot pivot in one part.
+PART = 1000
+#: Rows of open buckets go to every task up to this number; beyond it they are joined by shuffling.
+BROADCAST_BUCKETS = 20_000
+#: Numbers from here on stand for classes without an id.
+NO_ID = 1 << 62
+#: Hashes of words are kept up to this number of bytes of words.
+_WORD_BYTES = 8_000_000
 _U64 = np.uint64
 
 
@@ -55,10 +60,16 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
+    size = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        found = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        if len(word) < 256:
+            self.size += len(word) + 50
+            if self.size > _WORD_BYTES:
+                self.clear()
+                self.size = 0
+            self[word] = found
         return found
 
 
@@ -166,53 +177,119 @@ def linked_forest(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], nu
     return out
 
 
-def _large_families(sets: DataFrame, stars: DataFrame, families: DataFrame, compare, numerator: int, denominator: int, work: Workspace) -> DataFrame:
-    """(v, component) of what is linked in families of several blocks.
+def _measured(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(u, v, near, distance) of distinct pairs: whether they are linked, and their Jaccard distance.
 
-    All members are compared with a pivot, the centre of most of the family's stars. Those linked to it are
-    connected and never compared with each other, so a group of close copies costs one comparison each.
-    The others are compared, in blocks, with each other and with them.
+    The members of a pivot v are dealt to parts of ``PART`` rows about, the pivot to each of them, and each part is read
+    in order with the pivot first, so a task holds one set and a batch, however many members a pivot has.
     """
-    centres = stars.groupBy("v").agg(F.count("*").alias("n")).join(families, "v")
-    pivots = centres.groupBy("component").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("pivot"))
-    pivot_sets = work.save(sets.join(pivots, sets["v"] == pivots["pivot"]).groupBy(pivots["component"], "pivot").agg(F.max("shingles").alias("pivot_shingles")))
-    size = pivot_sets.agg(F.count("*").alias("n"), F.sum(F.length("pivot_shingles")).alias("bytes")).first()
-    few = size["n"] <= BROADCAST_FAMILIES
-    light = lambda df, fits: F.broadcast(df) if fits else df
+    limit = max(PART, pairs.count() // 10_000)  # so at most 10,000 pivots are hot
+    hot = pairs.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("v", F.ceil(F.col("n") / PART).alias("parts"))
+    one = F.lit(1).cast("long")
+    spread = lambda df: df.join(F.broadcast(hot), "v", "left").withColumn("parts", F.coalesce("parts", one))
+    members = spread(pairs).select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).alias("part"))
+    members = members.join(sets.select(F.col("rep").alias("u"), "shingles"), "u").select("v", "part", "u", "shingles")
+    pivots = spread(pairs.select("v").distinct()).select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    pivots = pivots.join(sets.select(F.col("rep").alias("v"), "shingles"), "v").select("v", "part", F.lit(None).cast("long").alias("u"), "shingles")
+    dealt = pivots.unionByName(members).repartition("v", "part").sortWithinPartitions("v", "part", F.col("u").asc_nulls_first())
 
     def measure():
-        def one(v, component, shingles, pivot, pivot_shingles):
-            a, b = np.frombuffer(shingles, _U64), np.frombuffer(pivot_shingles, _U64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            yield v, component, pivot, denominator * both >= numerator * (len(a) + len(b) - both), shingles
+        pivot: dict = {"of": None, "sets": []}
+
+        def one(v, part, u, shingles):
+            b = np.frombuffer(shingles, _U64)
+            if u is None:
+                if pivot["of"] != (v, part):
+                    pivot["of"], pivot["sets"] = (v, part), []
+                pivot["sets"].append(b)
+                return
+            for a in pivot["sets"]:
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                union = len(a) + len(b) - both
+                yield u, v, denominator * both >= numerator * union, 1 - both / union
 
         return one
 
-    pairs = sets.join(light(pivot_sets, few and size["bytes"] <= BROADCAST_BYTES), "component").select("v", "component", "shingles", "pivot", "pivot_shingles")
-    measured = work.save(
-        map_rows(
-            pairs, measure, "v long, component long, pivot long, near boolean, shingles binary",
-            pa.schema([("v", pa.int64()), ("component", pa.int64()), ("pivot", pa.int64()), ("near", pa.bool_()), ("shingles", pa.binary())]),
-        )
+    found = map_rows(
+        dealt, measure, "u long, v long, near boolean, distance double", pa.schema([("u", pa.int64()), ("v", pa.int64()), ("near", pa.bool_()), ("distance", pa.float64())])
     )
-    blocks_of = lambda near: F.greatest(F.ceil(F.count_if(near) / BLOCK), F.ceil(F.sum(F.when(near, F.length("shingles"))) / (8 * BLOCK_SHINGLES)))
-    counts = measured.groupBy("component").agg(
-        F.coalesce(blocks_of(F.col("near")), F.lit(0)).cast("long").alias("near_blocks"), F.coalesce(blocks_of(~F.col("near")), F.lit(0)).cast("long").alias("far_blocks")
+    return found.groupBy("u", "v").agg(F.bool_or("near").alias("near"), F.min("distance").alias("distance"))
+
+
+def _sets(docs: DataFrame, classes: DataFrame, suspects: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(rep, shingles) of the suspects; several rows for an id with several texts."""
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
+    named = map_rows(
+        rows.join(suspects, "rep"), lambda: lambda v, t: [(v, s.tobytes())] if len(s := shingle_set(t, words)) else [], "rep long, shingles binary", schema
     )
+    unnamed = suspects.where(F.col("rep") >= NO_ID)
+    if unnamed.isEmpty():
+        return named
+
+    def make():
+        def one(text):
+            s = shingle_set(text, words).tobytes()
+            yield xxhash.xxh3_128_digest(s), s
+
+        return one
+
+    again = map_rows(rows.where("rep is null and text is not null").select("text"), make, "digest binary, shingles binary", pa.schema([("digest", pa.binary()), ("shingles", pa.binary())]))
+    of = classes.join(unnamed, "rep", "left_semi").select("rep", "digest")
+    return named.unionByName(again.join(of, "digest").groupBy("rep").agg(F.first("shingles").alias("shingles")))
+
+
+def _across(keys: DataFrame, measured: DataFrame, parts: DataFrame, sets: DataFrame, sizes: DataFrame, numerator: int, denominator: int, work: Workspace) -> DataFrame:
+    """Spanning forests (u, v) of what else is linked inside buckets that the pivots do not settle.
+
+    A bucket is open if its members, of which there are three or more, are not all connected yet. Those far from the
+    pivot are compared with each other, and with those near to it unless the distances to the pivot rule a link out
+    (the distance is a metric: a link of near and far needs a far one within twice the threshold's distance). Equal
+    buckets of several bands are compared once.
+    """
+    # Ids with several texts have no single distance.
+    reach = 2 * (1 - numerator / denominator) + 1e-9 if sizes.where("sets > 1").isEmpty() else 2.0
+    of = parts.select(F.col("v").alias("rep"), "component")
+    labelled = keys.join(of, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    state = labelled.groupBy("key").agg(
+        F.count("*").alias("members"), F.min("rep").alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"),
+    )
+    open_ = state.where("members > 2 and low < high").groupBy("members", "pivot", "sum").agg(F.min("key").alias("key")).select("key", "pivot")
+    open_ = work.save(open_)
+    few = open_.count()
+    if not few:
+        return open_.select(F.col("key").alias("u"), F.col("pivot").alias("v")).limit(0)
+    light = lambda df: F.broadcast(df) if few <= BROADCAST_BUCKETS else df
+    members = labelled.join(light(open_), "key").where("rep <> pivot")
+    members = members.join(measured.select(F.col("u").alias("rep"), F.col("v").alias("pivot"), "near", "distance"), ["rep", "pivot"])
+    home = of.select(F.col("rep").alias("pivot"), F.col("component").alias("pivot_component"))
+    members = members.join(home, "pivot", "left").withColumn("other", F.col("component") != F.coalesce("pivot_component", "pivot"))
+    members = work.save(members.join(sizes, "rep").select("key", "rep", "near", "n", (~F.col("near") & F.col("other") & (F.col("distance") <= reach)).alias("crossing")))
+    blocks_of = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("long")
+    counts = members.groupBy("key").agg(blocks_of(F.col("near")).alias("nears"), blocks_of(~F.col("near")).alias("fars"), blocks_of(F.col("crossing")).alias("crossings"))
+    # The pivot is near to itself, but has been compared with all.
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
-    unit = lambda kind, first, second, side: F.struct(F.lit(kind).alias("kind"), first.alias("first"), second.alias("second"), side.alias("side"))
-    block = F.pmod(F.xxhash64("v"), F.when(F.col("near"), F.col("near_blocks")).otherwise(F.col("far_blocks")))
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    for_near = F.transform(upto(F.col("far_blocks")), lambda j: unit("mixed", j, F.col("block"), one))
-    among_far = F.transform(upto(F.col("far_blocks")), lambda j: unit("far", F.least("block", j), F.greatest("block", j), F.col("block")))
-    for_far = F.concat(among_far, F.transform(upto(F.col("near_blocks")), lambda j: unit("mixed", F.col("block"), j, zero)))
-    units = (
-        measured.join(light(counts, few), "component").withColumn("block", block)
-        .select("v", "component", "shingles", F.explode(F.when(F.col("near"), for_near).otherwise(for_far)).alias("unit")).select("v", "component", "shingles", "unit.*")
-    )
-    found = units.groupBy("component", "kind", "first", "second").applyInPandas(compare, "u long, v long")
-    forest = found.unionByName(measured.where("near").select(F.col("v").alias("u"), F.col("pivot").alias("v")))
-    return star_components(forest, work)
+    unit = lambda kind, first, second, side: F.struct(F.lit(kind).alias("kind"), first.alias("first"), second.alias("second"), side.cast("long").alias("side"))
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.col(n), F.lit(1)))
+    none = F.array().cast("array<struct<kind: string, first: long, second: long, side: long>>")
+    for_near = F.transform(upto(F.col("crossings")), lambda j: unit("mixed", j, block("nears"), F.lit(1)))
+    among = F.transform(upto(F.col("fars")), lambda j: unit("far", F.least(block("fars"), j), F.greatest(block("fars"), j), block("fars")))
+    crossing = F.when(F.col("crossing"), F.transform(upto(F.col("nears")), lambda j: unit("mixed", block("crossings"), j, F.lit(0)))).otherwise(none)
+    units = members.join(light(counts), "key").select("key", "rep", F.explode(F.when(F.col("near"), for_near).otherwise(F.concat(among, crossing))).alias("unit"))
+    units = units.select("key", "rep", "unit.*").join(sets, "rep")
+
+    def compare(pdf):
+        import pandas as pd  # here, so that the workers that hash do without
+
+        pdf = pdf.drop_duplicates(["rep", "shingles"])
+        forest = linked_forest(
+            pdf["rep"].to_numpy(), pdf["side"].to_numpy(), [np.frombuffer(s, _U64) for s in pdf["shingles"]], numerator, denominator
+        )
+        return pd.DataFrame(forest, columns=["u", "v"], dtype="int64")
+
+    bound_batches(work.spark)
+    return units.groupBy("key", "kind", "first", "second").applyInPandas(compare, "u long, v long").where("u <> v")
 
 
 def near_duplicates(
@@ -227,56 +304,29 @@ def near_duplicates(
     least = -(-numerator // (denominator - numerator))  # smaller sets link with equal ones only
     rows = band_rows(numerator / denominator)
     signed = work.save(_signed(docs, words, least, rows, id_col, text_col))
-    classes = work.save(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")))
+    # Equal sets have equal bands. A class without any id has a number beyond all ids.
+    unnamed = F.lit(NO_ID) + F.pmod(F.xxhash64("digest"), F.lit(NO_ID))
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = work.save(classes.withColumn("rep", F.coalesce("rep", unnamed)))
 
-    keys = (
-        signed.where("bands is not null").join(classes, "digest").where("id = rep")
-        .select(F.col("rep"), F.explode("bands").alias("key"))
-    )
+    # Rows of equal ids and different texts are different classes with one representative; it has the keys of all.
+    keys = classes.where("bands is not null").select("rep", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    stars = work.save(keys.join(buckets, "key").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v")), "uncompressed")
-    families = star_components(stars, work)
-
-    sized = families.join(
-        signed.select(F.col("id").alias("v"), "n").distinct(), "v"
-    ).groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    sized = sized.select(
-        "component", F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    )
-    suspects = families.join(sized, "component").select("v", "component", "blocks")
-    texts = (
-        docs.select(F.col(id_col).cast("long").alias("v"), F.col(text_col).cast("string").alias("text"))
-        .join(suspects, "v").select("v", "component", "blocks", "text")
-    )
-    # Of equal ids with different texts, those of the class that the id represents are compared.
-    sets = work.save(
-        map_rows(
-            texts, lambda: lambda v, c, b, t: [(v, c, b, shingle_set(t, words).tobytes())],
-            "v long, component long, blocks int, shingles binary",
-            pa.schema([("v", pa.int64()), ("component", pa.int64()), ("blocks", pa.int32()), ("shingles", pa.binary())]),
-        )
-    )
-
-    def compare(pdf):
-        import pandas as pd  # here, so that the workers that hash do without
-
-        pdf = pdf.drop_duplicates(["v", "shingles"])
-        forest = linked_forest(
-            pdf["v"].to_numpy(), pdf["side"].to_numpy(), [np.frombuffer(s, _U64) for s in pdf["shingles"]], numerator, denominator
-        )
-        return pd.DataFrame(forest, columns=["u", "v"], dtype="int64")
-
-    bound_batches(spark)
-    small = sets.where("blocks = 1").withColumn("side", F.lit(0))
-    whole = small.groupBy("component").applyInPandas(compare, "u long, v long")
-    resolved = whole.where("u <> v").select(F.col("u").alias("rep"), F.col("v").alias("low"))
-    if not sized.where("blocks > 1").isEmpty():
-        parts = _large_families(sets.where("blocks > 1"), stars, families, compare, numerator, denominator, work)
-        resolved = resolved.unionByName(parts.where("v <> component").select(F.col("v").alias("rep"), F.col("component").alias("low")))
-
-    labels = classes.join(resolved, "rep", "left").select("digest", F.coalesce("low", "rep").alias("component_id"))
+    shared = work.save(keys.join(buckets, "key").select("key", "rep", "low").distinct(), "uncompressed")
+    pairs = work.save(shared.where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct(), "uncompressed")
+    suspects = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
+    sets = work.save(_sets(docs, classes, work.save(suspects), words, id_col, text_col).distinct())
+    measured = work.save(_measured(pairs, sets, numerator, denominator), "uncompressed")
+    near = measured.where("near").select("u", "v")
+    parts = star_components(near, work)
+    sizes = sets.groupBy("rep").agg(F.count("*").alias("sets"), F.sum(F.floor(F.length("shingles") / 8)).alias("n"))
+    more = work.save(_across(shared.select("key", "rep"), measured, parts, sets, sizes, numerator, denominator, work), "uncompressed")
+    if not more.isEmpty():
+        parts = star_components(parts.select(F.col("v").alias("u"), F.col("component").alias("v")).unionByName(more), work)
+
+    labels = classes.join(parts.withColumnRenamed("v", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n", "digest").join(labels, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.when(F.col("component_id") < NO_ID, F.col("component_id")))
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
     )

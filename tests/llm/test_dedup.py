@@ -62,14 +62,43 @@ def test_near_duplicates(spark, k, num):
 
 
 @pytest.mark.parametrize("broadcast", [0, 1000])
-def test_large_families_in_blocks(spark, monkeypatch, broadcast):
+def test_large_groups_in_blocks(spark, monkeypatch, broadcast):
+    """Groups that are linked only through chains, in parts and blocks much smaller than they are."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
-    monkeypatch.setattr(minhash, "BROADCAST_FAMILIES", broadcast)
+    monkeypatch.setattr(minhash, "PART", 10)
+    monkeypatch.setattr(minhash, "BROADCAST_BUCKETS", broadcast)
     rows = texts(9, families=2, members=60)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    for j in range(60):  # each differs a little from the one before, and much from the first
+        base[rng.randrange(120)] = f"c{j}"
+        rows.append((1000 + (j * 37) % 60, " ".join(base)))
     found = minhash.near_duplicates(frame(spark, rows), 3, 85, 100).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == {i: c for i, (_, c) in brute(rows, 3, 85, 100).items()}
 
 
+def test_half_similar_texts_stay_cheap(spark, monkeypatch):
+    """A chain of texts that share half of their shingles with the next: few pairs are measured, none is closed over."""
+    measured = []
+    real = minhash._measured
+    monkeypatch.setattr(minhash, "_measured", lambda pairs, *rest: measured.append(pairs.count()) or real(pairs, *rest))
+    for n in (200, 800):
+        rows = [(i, " ".join(f"w{i * 40 + j}" for j in range(140))) for i in range(n)]
+        found = minhash.near_duplicates(frame(spark, rows), 3, 85, 100).collect()
+        assert all(r["kept"] for r in found)
+    assert measured[1] <= 5 * max(measured[0], 40) and measured[1] < 3 * 800
+
+
+def test_ids_missing_or_with_several_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, text + " end"), (None, text + " end"), (7, text), (7, other), (9, other + " end"), (None, "q " + " ".join(f"u{i}" for i in range(60))), (None, " ".join(f"u{i}" for i in range(60)))]
+    out = minhash.near_duplicates(frame(spark, rows), 3, 85, 100).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in out) == [
+        ("7", "7", True), ("7", "7", True), ("9", "7", False), ("None", "7", False), ("None", "7", False), ("None", "None", True), ("None", "None", True),
+    ]
+
+
 def test_repeated_and_missing_ids(spark):
     rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (None, "a b c d e f g h"), (None, "other words only here"), (2, None)]
     out = minhash.near_duplicates(frame(spark, rows), 3, 85, 100).collect()
