@@ -1,6 +1,7 @@
 """Surrogates against a plain Python version, and the collision check on a tiny pool."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -69,7 +70,7 @@ def test_other_key_other_surrogates(spark):
 @pytest.mark.parametrize("pool", [40, 60])
 def test_collisions_are_resolved(spark, monkeypatch, pool):
     monkeypatch.setattr(pii, "surrogate", lambda k, a, s: F.concat(F.lit("s"), F.pmod(F.xxhash64(F.concat(k, a.cast("string"))), F.lit(pool)).cast("string")))
-    names = [f"surname-latin-u\x1f{x}" for x in [f"s{i}" for i in range(5)] + [f"n{i}" for i in range(20)]]
+    names = [f"surname-latin\x1f{x}" for x in [f"s{i}" for i in range(5)] + [f"n{i}" for i in range(20)]]
     keys = spark.createDataFrame([(n,) for n in names], "entity string")
     again = pii.settled_attempts(keys, "k", Workspace(spark, "t"))
     final = keys.join(again, "entity", "left").select(pii.surrogate(F.col("entity"), F.coalesce("attempt", F.lit(0)), "k").alias("s"))
@@ -96,11 +97,65 @@ def test_whole_entities(spark):
 
 
 def test_more_entities_than_short_names(spark):
-    """A given name of unknown gender has 6,400 surrogates at the first attempt."""
-    keys = spark.range(7000).select(F.concat(F.lit("given-latin-u\x1fq"), F.col("id").cast("string")).alias("entity"))
+    """A given name has 102,400 surrogates at the first attempt, and more with each further one."""
+    keys = spark.range(7000).select(F.concat(F.lit("given-latin\x1fq"), F.col("id").cast("string")).alias("entity"))
     again = pii.settled_attempts(keys, "k", Workspace(spark, "t"))
-    final = keys.join(again, "entity", "left").select(pii.surrogate(F.col("entity"), F.coalesce("attempt", F.lit(0)), "k").alias("s"))
-    assert final.distinct().count() == 7000 and final.where("not s rlike '^([a-z][aeiou])+ne$'").isEmpty()
+    final = keys.join(again, "entity", "left").select(pii.surrogate(F.col("entity"), F.coalesce("attempt", F.lit(0)), "k").alias("s"), "attempt")
+    assert final.select("s").distinct().count() == 7000 and final.where("not s rlike '^([a-z][aeiou])+[a-z]$'").isEmpty()
+    assert not final.where("attempt > 0").isEmpty()
+
+
+def test_people_keep_one_name_each(spark, monkeypatch):
+    """A corpus of known people, mentioned in all forms: every name has one surrogate, no two have the same, none is real."""
+    monkeypatch.setattr(pii, "_CONSONANTS", "bcdfbcdfbcdfbcdf")  # few names, so that many collide
+    rng = random.Random(8)
+    people = []
+    for i in range(120):
+        sex = "mf"[i % 2]
+        given = rng.choice([x for x in (pii.GIVEN_MALE if sex == "m" else pii.GIVEN_FEMALE) if x.isascii() and x not in pii.WORDS]).capitalize()
+        people.append((sex, given, "".join(rng.choice(["ko", "mal", "ster", "bran", "lo", "wick", "han", "der"]) for _ in range(3)).capitalize()))
+    people += [("m", "Иван", f"{x}ов") for x in ("Петр", "Сидор", "Кузнец")] + [("f", "Анна", f"{x}ова") for x in ("Петр", "Орл")]
+    rows, truth = [], []
+    for n in range(900):
+        sex, given, family = rng.choice(people)
+        form = rng.choice(["{h} {g} {f}", "{h} {f}", "Dr. {f}", "Prof. {g} {f}", "{g} {f}", "Dr {g} {F}"])
+        cyrillic = not given.isascii()
+        h = rng.choice((["господин"] if sex == "m" else ["госпожа"]) if cyrillic else ["Mr.", "Herr", "Señor"] if sex == "m" else ["Mrs.", "Frau", "Ms"])
+        form = form.replace("Dr.", "Доктор").replace("Dr", "Доктор").replace("Prof.", "доктор") if cyrillic else form
+        rows.append((n, "we met " + form.format(h=h, g=given, f=family, F=family.upper()) + "."))
+        truth.append((form, given.lower(), family.lower()))
+    out = [r["text"] for r in pii.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    names, real = {}, {x for _, g, f in truth for x in (g, f)}
+    for (form, given, family), text in zip(truth, out):
+        words = text.rstrip(".").lower().split()
+        assert not {given, family} & set(words), (form, given, family, text)
+        names.setdefault(("f", family), set()).add(words[-1])
+        if "{g}" in form:
+            names.setdefault(("g", given), set()).add(words[-2])
+    assert all(len(v) == 1 for v in names.values()), {k: v for k, v in names.items() if len(v) > 1}
+    for kind in "gf":
+        used = [next(iter(v)) for k, v in names.items() if k[0] == kind]
+        assert len(set(used)) == len(used) and not set(used) & real
+
+
+def mod97(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def test_accounts_and_addresses(spark):
+    texts = [
+        "IBAN DE89 3704 0044 0532 0130 00, again DE89370400440532013000", "GB29NWBK60161331926819", "not one: DE88370400440532013000 AB12CDEFGHIJKLMN", "2001:DB8:0:0:8:800:200C:417A and 2001:db8::8:800:200c:417a.",
+        "fe80::1 std::cout a::b 12:30:45 ::1", "Alice Johnson and Alice wrote to Mark Twain; Charles de Gaulle",
+    ]
+    out = [r["text"] for r in pii.replace_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    spaced, plain = re.fullmatch(r"IBAN (DE\d\d(?: \d{4}){4} \d\d), again (DE\d{20})", out[0]).groups()
+    assert spaced.replace(" ", "") == plain != "DE89370400440532013000" and mod97(plain[4:] + plain[:4]) == 1
+    assert re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", out[1]) and out[1] != texts[1] and mod97(out[1][4:] + out[1][:4]) == 1
+    assert out[2] == texts[2]
+    a, b = re.fullmatch(r"(2001:DB8(?::[0-9A-F]{1,4}){6}) and (2001:db8(?::[0-9a-f]{1,4}){6})\.", out[3]).groups()
+    assert a.lower() == b != "2001:db8:0:0:8:800:200c:417a"
+    assert re.fullmatch(r"2001:db8(:[0-9a-f]{1,4}){6} std::cout a::b 12:30:45 ::1", out[4])
+    assert re.fullmatch(r"[A-Z][a-z]+a [A-Z][a-z]+ and Alice wrote to Mark Twain; [A-Z][a-z]+ de [A-Z][a-z]+", out[5]) and "Johnson" not in out[5] and "Gaulle" not in out[5]
 
 
 def test_lookup_path(spark, monkeypatch):
