@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loomgraph.operators.graph import Graph
+from loomgraph.plans.workspace import Workspace
 
 
 def _degrees(graph: Graph, *ends: str) -> DataFrame:
@@ -38,12 +39,14 @@ def nonempty(graph: Graph) -> DataFrame:
 
 
 def neighbors_out(graph: Graph, frontier: DataFrame) -> DataFrame:
-    """(v, neighbor) for each edge that leaves a vertex v of the frontier."""
-    return graph.edges.join(frontier.select(F.col("v").alias("src")), "src").select(F.col("src").alias("v"), F.col("dst").alias("neighbor"))
+    """(v, neighbor) for each edge that leaves a vertex v of the frontier, with its weight if edges have one."""
+    rest = [c for c in graph.edges.columns if c not in ("src", "dst")]
+    return graph.edges.join(frontier.select(F.col("v").alias("src")), "src").select(F.col("src").alias("v"), F.col("dst").alias("neighbor"), *rest)
 
 
 def neighbors_in(graph: Graph, frontier: DataFrame) -> DataFrame:
-    return graph.edges.join(frontier.select(F.col("v").alias("dst")), "dst").select(F.col("dst").alias("v"), F.col("src").alias("neighbor"))
+    rest = [c for c in graph.edges.columns if c not in ("src", "dst")]
+    return graph.edges.join(frontier.select(F.col("v").alias("dst")), "dst").select(F.col("dst").alias("v"), F.col("src").alias("neighbor"), *rest)
 
 
 def with_neighbor_in(graph: Graph, vertices: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -58,10 +61,32 @@ def range_scan(graph: Graph, first: int, end: int) -> DataFrame:
 
 
 def ordered_neighbors(graph: Graph) -> DataFrame:
-    """(v, neighbors): ascending, with repeats, of every vertex that an edge leaves."""
+    """(v, neighbors): ascending, with repeats, of every vertex that an edge leaves.
+
+    A list is one row; where hubs have more neighbours than a row should hold, ``placed_neighbors`` gives rows.
+    """
     return graph.edges.groupBy(F.col("src").alias("v")).agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))
 
 
+def placed_neighbors(graph: Graph) -> DataFrame:
+    """(v, place, neighbor): the same order as rows, places from 0; a hub's neighbours spread over parts.
+
+    The sorted table is written once with each row's place in its part. What a vertex has in earlier parts is a
+    running sum over the parts it lies in.
+    """
+    work = Workspace(graph.spark, "places")
+    at = F.monotonically_increasing_id()
+    rows = work.save(
+        graph.edges.select("src", "dst").repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
+        .select("src", "dst", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    )
+    starts = rows.groupBy("src", "part").agg(F.min("at").alias("start"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = work.save(starts.withColumn("before", before).drop("n"))
+    place = F.col("before") + F.col("at") - F.col("start")
+    return rows.join(starts, ["src", "part"]).select(F.col("src").alias("v"), place.alias("place"), F.col("dst").alias("neighbor"))
+
+
 def sample_neighbors(graph: Graph, k: int) -> DataFrame:
     """(v, place, neighbor): the k smallest neighbours of each vertex, places from 0.
 

@@ -2,8 +2,10 @@
 
 The loop alternates two star contractions. In the large star every vertex hands its larger
 neighbours to its smallest neighbour; in the small star it hands its smaller ones. Each round is two
-joins and two minimum aggregations whose partial sums run before the shuffle, so a vertex with very
-many neighbours costs its own rows and no more, and chains shrink in logarithmically many rounds.
+joins and two minimum aggregations whose partial sums run before the shuffle, and chains shrink in
+logarithmically many rounds. A star's centre has a row for each of its neighbours on one key of the join; of
+tables beyond ``LARGE`` edges the minima are written first, so that both sides of the join are plain shuffles
+and adaptive execution can deal such a key to several tasks.
 """
 
 from __future__ import annotations
@@ -14,9 +16,14 @@ from loomgraph.operators.graph import Graph
 from loomgraph.plans.workspace import Workspace
 
 
-def _toward_minimum(pairs: DataFrame, larger: bool) -> DataFrame:
-    """One star contraction of ``pairs`` (u, v); u is the centre."""
+#: Tables with more edges than this may hold stars that are too large for a task.
+LARGE = 5_000_000
+
+
+def _toward_minimum(pairs: DataFrame, larger: bool, keep: Workspace | None = None) -> DataFrame:
+    """One star contraction of ``pairs`` (u, v); u is the centre. ``keep`` writes the minima first."""
     lowest = pairs.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
+    lowest = keep.save(lowest, "uncompressed") if keep else lowest
     joined = pairs.join(lowest, "u")
     if larger:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -24,7 +31,7 @@ def _toward_minimum(pairs: DataFrame, larger: bool) -> DataFrame:
     return moved.unionByName(lowest.select("u", F.col("m").alias("v")))
 
 
-def star_components(edges: DataFrame, workspace: Workspace, max_rounds: int = 60) -> DataFrame:
+def star_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
     """(v, component) of every vertex that has an edge to another one.
 
     ``edges`` has long columns (u, v). Self loops, repeated edges and either direction are fine, rows
@@ -34,11 +41,12 @@ def star_components(edges: DataFrame, workspace: Workspace, max_rounds: int = 60
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
         "uncompressed",
     )
-    before = None
-    for _ in range(max_rounds):
+    before, size = None, current.count()
+    while True:
+        keep = workspace if size > LARGE else None
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = workspace.save(_toward_minimum(both, True).where("u <> v").distinct(), "uncompressed")
-        small = _toward_minimum(large, False).where("u <> v")
+        large = workspace.save(_toward_minimum(both, True, keep).where("u <> v").distinct(), "uncompressed")
+        small = _toward_minimum(large, False, keep).where("u <> v")
         following = workspace.save(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "uncompressed")
         workspace.drop(current, large)
         current = following
@@ -49,9 +57,7 @@ def star_components(edges: DataFrame, workspace: Workspace, max_rounds: int = 60
         ).first()
         if state == before:
             break
-        before = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        before, size = state, state["n"]
     members = current.select(F.col("u").alias("v"), F.col("v").alias("component"))
     roots = members.select("component").distinct().select(F.col("component").alias("v"), "component")
     return workspace.save(members.unionByName(roots), "uncompressed")

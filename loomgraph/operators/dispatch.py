@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomgraph.functions.scalar import int_div
 from loomgraph.operators.graph import reverse
+from loomgraph.plans.workspace import Workspace
 
 
 def range_partition(v: Column, width: int) -> Column:
@@ -29,6 +30,24 @@ def dispatch_by_shift(edges: DataFrame, width: int, partitions: int) -> DataFram
     return ends.groupBy((F.shiftright("v", bits) % partitions).alias("partition")).agg(F.count("*").alias("edges"))
 
 
+def arrival_batches(edges: DataFrame, arrival: list[str], size: int = 1 << 16) -> DataFrame:
+    """(src, dst, batch): runs of ``size`` consecutive edges in the order of the arrival columns.
+
+    The order is found by ranges: the sorted table is written once with each row's place in its part, and the parts'
+    sizes (one number each) give the rest.
+    """
+    work = Workspace(edges.sparkSession, "arrival")
+    at = F.monotonically_increasing_id()
+    rows = work.save(
+        edges.repartitionByRange(*arrival).sortWithinPartitions(*arrival)
+        .select("src", "dst", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    )
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.join(F.broadcast(sizes.select("part", before.alias("base"))), "part")
+    return numbered.select("src", "dst", int_div(F.col("base") + F.col("at"), size).alias("batch"))
+
+
 def sorted_batches(batched: DataFrame) -> DataFrame:
     """(batch, side, place, src, dst): each batch's edges, and its reversed edges, by (src, dst), places from 0."""
     sides = batched.withColumn("side", F.lit("out")).unionByName(reverse(batched).withColumn("side", F.lit("in")))

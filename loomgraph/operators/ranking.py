@@ -7,6 +7,7 @@ scores are written, which cuts lineage.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.operators.access import out_degrees
@@ -74,6 +75,33 @@ def pagerank_push(graph: Graph, iterations: int = 10) -> DataFrame:
     return scores
 
 
+#: Scores of up to this number of vertices go to every task.
+PULLED_VERTICES = 4_000_000
+
+
+def pagerank_pull(graph: Graph, iterations: int = 10) -> DataFrame:
+    """The same recurrence, read by the targets: in-edges stay partitioned by target, and each vertex gathers its sources' scores.
+
+    Only the scores move, as a broadcast, and sums by target need no shuffle. Beyond ``PULLED_VERTICES`` the scores
+    are no longer small, and they are pushed along the edges instead.
+    """
+    if graph.vertex_count > PULLED_VERTICES or not iterations:
+        return pagerank_push(graph, iterations)
+    work = Workspace(graph.spark, "pagerank")
+    degrees = out_degrees(graph).where("degree > 0")
+    pairs = graph.edges.groupBy("src", "dst").agg(F.count("*").alias("times"))
+    # Every vertex has a row, so that those without in-edges gather nothing.
+    own = graph.vertices().select(F.lit(-1).cast("long").alias("src"), F.col("v").alias("dst"), F.lit(0).cast("long").alias("times"))
+    into = pairs.unionByName(own).repartition(F.col("dst")).persist(StorageLevel.MEMORY_AND_DISK)
+    sent = degrees.select(F.col("v").alias("src"), F.lit(0.15).alias("sent"))  # the start is not divided by degree
+    for _ in range(iterations):
+        gathered = into.join(F.broadcast(sent), "src", "left").groupBy("dst").agg(F.sum(F.col("times") * F.coalesce("sent", F.lit(0.0))).alias("x"))
+        scores = work.save(gathered.select(F.col("dst").alias("v"), (F.lit(0.15) + DAMPING * F.col("x")).alias("score")))
+        sent = scores.join(degrees, "v").select(F.col("v").alias("src"), (F.col("score") / F.col("degree")).alias("sent"))
+    into.unpersist()
+    return scores
+
+
 def rank_report(scores: DataFrame, first: int = 5) -> DataFrame:
     """(what, v, score): the first vertices, and the best (the smallest id of equal ones)."""
     best = scores.orderBy(F.desc("score"), "v").limit(1).select(F.lit("max").alias("what"), "v", "score")

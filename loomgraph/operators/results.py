@@ -73,5 +73,5 @@ def miss_ratios(frame: DataFrame) -> DataFrame:
 
 
 def latest_files(files: DataFrame, n: int) -> DataFrame:
-    """(path, modificationTime) of the n newest, of a ``binaryFile`` listing; no content is read."""
+    """(path, modificationTime) of the n newest, of a ``binaryFile`` listing of a folder; no content is read."""
     return files.select("path", "modificationTime").orderBy(F.desc("modificationTime"), F.desc("path")).limit(n)

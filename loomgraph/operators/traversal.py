@@ -8,6 +8,7 @@ the graph, by asking the unvisited vertices for an edge from it; both give the s
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,7 +22,7 @@ BOTTOM_UP = 0.002
 MERGE_LEVELS = 12
 
 
-def _levels(graph: Graph, start: DataFrame, keys: list[str], bottom_up: bool, max_levels: int) -> DataFrame:
+def _levels(graph: Graph, start: DataFrame, keys: list[str], bottom_up: bool, max_levels: int | None) -> DataFrame:
     """(keys, v, level) of all that is reached from ``start`` (keys, v)."""
     work = Workspace(graph.spark, "bfs")
     edges = KeyedEdges(graph.edges.select("src", "dst"), graph.edge_count)
@@ -29,7 +30,9 @@ def _levels(graph: Graph, start: DataFrame, keys: list[str], bottom_up: bool, ma
         frontier = work.save(start.withColumn("level", F.lit(1)), "uncompressed")
         reached = [frontier]
         size = frontier.count() if bottom_up else 0
-        for level in range(2, max_levels + 1):
+        for level in count(2):
+            if max_levels is not None and level > max_levels:
+                return reduce(DataFrame.unionByName, reached)
             visited = reduce(DataFrame.unionByName, reached).select(*keys, "v")
             large = bottom_up and size >= BOTTOM_UP * graph.vertex_count
             if large:
@@ -46,13 +49,12 @@ def _levels(graph: Graph, start: DataFrame, keys: list[str], bottom_up: bool, ma
             reached.append(frontier)
             if len(reached) > MERGE_LEVELS:
                 reached = [work.save(reduce(DataFrame.unionByName, reached), "uncompressed")]
-        raise RuntimeError(f"more than {max_levels} levels")
     finally:
         edges.release()
 
 
-def bfs(graph: Graph, root: int, bottom_up: bool = True, max_levels: int = 10_000) -> DataFrame:
-    """(v, level) of every vertex, along the edges' direction."""
+def bfs(graph: Graph, root: int, bottom_up: bool = True, max_levels: int | None = None) -> DataFrame:
+    """(v, level) of every vertex, along the edges' direction; ``max_levels`` ends the search earlier."""
     start = graph.vertices().where(F.col("v") == root)
     reached = _levels(graph, start, [], bottom_up, max_levels)
     return graph.vertices().join(reached, "v", "left").select("v", F.coalesce("level", F.lit(0)).alias("level"))
@@ -63,7 +65,7 @@ def bfs_reverse(graph: Graph, root: int) -> DataFrame:
     return bfs(graph.reversed(), root)
 
 
-def bfs_many(graph: Graph, roots: list[int], max_levels: int = 10_000) -> DataFrame:
+def bfs_many(graph: Graph, roots: list[int], max_levels: int | None = None) -> DataFrame:
     """(root, v, level) of what each root reaches; all roots advance in one query a level."""
     start = graph.vertices().where(F.col("v").isin(roots)).select(F.col("v").alias("root"), "v")
     return _levels(graph, start, ["root"], False, max_levels)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from loomgraph.functions.scalar import int_div
 from loomgraph.operators.access import all_degrees
 from loomgraph.operators.graph import Graph, symmetrize
+from loomgraph.plans.workspace import Workspace
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -14,6 +15,8 @@ def _oriented(edges: DataFrame) -> DataFrame:
     about the square root of twice the edges, so hot vertices spread over their neighbours."""
     pairs = symmetrize(edges)
     degree = pairs.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
+    # Written, so that both sides of the joins are plain shuffles and a hub's rows can go to several tasks.
+    degree = Workspace(edges.sparkSession, "triangles").save(degree)
     known = pairs.join(degree.select(F.col("v").alias("src"), F.col("d").alias("ds")), "src").join(degree.select(F.col("v").alias("dst"), F.col("d").alias("dd")), "dst")
     forward = F.struct("ds", "src") < F.struct("dd", "dst")
     low = F.when(forward, F.struct(F.col("src").alias("v"), F.col("ds").alias("d"))).otherwise(F.struct(F.col("dst").alias("v"), F.col("dd").alias("d")))

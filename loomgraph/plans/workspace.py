@@ -38,9 +38,11 @@ def _clean() -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a default is set only where the session names none."""
+    """The shared folder of the session; on a local master, a default where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(DEFAULT_DIR)
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")

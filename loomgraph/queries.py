@@ -124,6 +124,14 @@ def _store(spark: SparkSession, sf_dir: str) -> EdgeStore:
     return store
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> EdgeStore:
+    """The order-part graph in four versions, each of the sources of one remainder."""
+    store = EdgeStore(spark, f"{Workspace(spark, 'versions').root}/table", width=1024)
+    for i in range(4):
+        store.append(edges_of(spark, sf_dir).where(F.col("src") % 4 == i), i)
+    return store
+
+
 @query("snapshot_degrees", _deg("out") + " SELECT v, degree FROM d")
 def snapshot_degrees(spark, sf_dir):
     """Degrees on the snapshot after a stream has been taken in."""
@@ -143,18 +151,13 @@ def stream_range_scan(spark, sf_dir):
 @query("range_scan_level", _with() + " SELECT src, dst FROM e WHERE src >= 100 AND src < 400 AND src % 4 = 2")
 def range_scan_level(spark, sf_dir):
     """A scan of one version; each holds the sources of one remainder."""
-    store = EdgeStore(spark, f"{Workspace(spark, 'versions').root}/table", width=1024)
-    for i in range(4):
-        store.append(edges_of(spark, sf_dir).where(F.col("src") % 4 == i), i)
-    return store.scan(100, 400, version=2)
+    return _versions(spark, sf_dir).scan(100, 400, version=2)
 
 
 @query("sample_k_level", _with("order_part", ", r AS (SELECT src AS v, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS place, dst AS neighbor FROM e WHERE src % 4 = 1)") + " SELECT v, place, neighbor FROM r WHERE place < 2")
 def sample_k_level(spark, sf_dir):
-    store = EdgeStore(spark, f"{Workspace(spark, 'versions').root}/table", width=1024)
-    for i in range(2):
-        store.append(edges_of(spark, sf_dir).where(F.col("src") % 4 == i), i)
-    return access.sample_neighbors(Graph(store.scan(0, 1 << 40, version=1)), 2)
+    """Two neighbours of each vertex in one of four versions."""
+    return access.sample_neighbors(Graph(_versions(spark, sf_dir).scan(0, 1 << 40, version=1)), 2)
 
 
 @query("visibility_prefix", _with() + ", w AS (SELECT src % 4 AS writer, count(*) AS n FROM e GROUP BY 1) SELECT CAST(min(n // 128) * 128 * count(*) AS BIGINT) AS visible FROM w")
@@ -191,20 +194,27 @@ def neighbors_vector(spark, sf_dir):
     return access.range_scan(graph_of(spark, sf_dir, "part_supp"), 7, 8)
 
 
-@query("neighbors_out", _with() + " SELECT src AS v, dst AS neighbor FROM e WHERE src < 50")
+def _frontier(g: Graph) -> DataFrame:
+    """The stated set of query vertices: every one whose id is divisible by 20."""
+    return g.vertices().where("v % 20 = 0")
+
+
+@query("neighbors_out", _with() + " SELECT src AS v, dst AS neighbor FROM e WHERE src % 20 = 0")
 def neighbors_out(spark, sf_dir):
-    return access.neighbors_out(graph_of(spark, sf_dir), spark.range(50).select(F.col("id").alias("v")))
+    g = graph_of(spark, sf_dir)
+    return access.neighbors_out(g, _frontier(g))
 
 
-@query("neighbors_in", _with() + " SELECT dst AS v, src AS neighbor FROM e WHERE dst < 50")
+@query("neighbors_in", _with() + " SELECT dst AS v, src AS neighbor FROM e WHERE dst % 20 = 0")
 def neighbors_in(spark, sf_dir):
-    return access.neighbors_in(graph_of(spark, sf_dir), spark.range(50).select(F.col("id").alias("v")))
+    g = graph_of(spark, sf_dir)
+    return access.neighbors_in(g, _frontier(g))
 
 
-@query("neighbors_exists", _with() + " SELECT v FROM v WHERE v IN (SELECT dst FROM e WHERE src < 100)")
+@query("neighbors_exists", _with() + " SELECT v FROM v WHERE v IN (SELECT dst FROM e WHERE src % 20 = 0)")
 def neighbors_exists(spark, sf_dir):
     g = graph_of(spark, sf_dir)
-    return access.with_neighbor_in(g, g.vertices(), spark.range(100).select(F.col("id").alias("v")))
+    return access.with_neighbor_in(g, g.vertices(), _frontier(g))
 
 
 @query("range_scan", _with() + " SELECT src, dst FROM e WHERE src >= 500 AND src < 900")
@@ -222,6 +232,30 @@ def sample_k(spark, sf_dir):
     return access.sample_neighbors(graph_of(spark, sf_dir, "part_supp"), 3)
 
 
+@query("placed_neighbors", _with() + " SELECT src AS v, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS place, dst AS neighbor FROM e")
+def placed_neighbors(spark, sf_dir):
+    return access.placed_neighbors(graph_of(spark, sf_dir))
+
+
+@query("weighted_neighbors", "SELECT l_orderkey AS v, l_partkey AS neighbor, CAST(l_quantity AS BIGINT) AS weight FROM lineitem WHERE l_orderkey % 20 = 0")
+def weighted_neighbors(spark, sf_dir):
+    """Neighbours with their weights, through a binary file of weighted records."""
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    path = Workspace(spark, "weighted").root
+    rows = table.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").cast("long").alias("weight"))
+    binary.write_edges(rows, path, weighted=True)
+    g = Graph(binary.read_edges(spark, path, weighted=True))
+    return access.neighbors_out(g, _frontier(g))
+
+
+@query("compacted_versions", "WITH e AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem) SELECT src, dst FROM e WHERE src % 4 < 3")
+def compacted_versions(spark, sf_dir):
+    """A snapshot of three of four versions after compaction has merged them all."""
+    store = _versions(spark, sf_dir)
+    store.compact(3, alpha=100.0)
+    return store.snapshot(2).edges
+
+
 _LISTS = ", o AS (SELECT src AS v, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS l FROM e GROUP BY src), i AS (SELECT dst AS v, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS l FROM e GROUP BY dst)"
 
 
@@ -344,9 +378,9 @@ def gen_toy_tree(spark, sf_dir):
     return generate.binary_tree(spark, 16383)
 
 
-@query("gen_toy_k50", "SELECT c * 50 + a AS src, c * 50 + b AS dst FROM range(4) AS x(c), range(50) AS y(a), range(50) AS z(b) WHERE a <> b")
+@query("gen_toy_k50", "SELECT c * 50 + a AS src, c * 50 + b AS dst FROM range(1000) AS x(c), range(50) AS y(a), range(50) AS z(b) WHERE a <> b")
 def gen_toy_k50(spark, sf_dir):
-    return generate.cliques(spark, 50, copies=4)
+    return generate.cliques(spark, 50, copies=1000)
 
 
 @query("gen_toy_k20d", "SELECT a.range AS src, b.range AS dst FROM range(20) AS a, range(20) AS b WHERE a.range < b.range")
@@ -356,11 +390,11 @@ def gen_toy_k20d(spark, sf_dir):
 
 @query(
     "gen_toy_circle",
-    "SELECT c * 8 + a AS src, c * 8 + b AS dst FROM range(6) AS x(c), range(8) AS y(a), range(8) AS z(b) WHERE a <> b "
-    "UNION ALL SELECT c * 8 + a, (c + 1) % 6 * 8 + b FROM range(6) AS x(c), range(8) AS y(a), range(8) AS z(b)",
+    "SELECT c * 128 + a AS src, c * 128 + b AS dst FROM range(64) AS x(c), range(128) AS y(a), range(128) AS z(b) WHERE a <> b "
+    "UNION ALL SELECT c * 128 + a, (c + 1) % 64 * 128 + b FROM range(64) AS x(c), range(128) AS y(a), range(128) AS z(b)",
 )
 def gen_toy_circle(spark, sf_dir):
-    return generate.batch_circle(spark, 8, 6)
+    return generate.batch_circle(spark, 128, 64)
 
 
 @query("gen_toy_selfloop", "SELECT v AS src, v AS dst FROM range(64) AS x(v), range(32) AS y(k)")
@@ -368,7 +402,15 @@ def gen_toy_selfloop(spark, sf_dir):
     return generate.self_loops(spark, 64, 32)
 
 
-@query("gen_random_edges")
+@query("gen_toy_selfloop_large", "SELECT v AS src, v AS dst FROM range(1024) AS x(v), range(32) AS y(k)")
+def gen_toy_selfloop_large(spark, sf_dir):
+    return generate.self_loops(spark, 1024, 32)
+
+
+@query(
+    "gen_random_edges",
+    "SELECT " + ", ".join(f"CAST('0x' || substr(md5('0:' || range || ':{k}'), 1, 15) AS BIGINT) % 1048576 AS {n}" for k, n in enumerate(("src", "dst"))) + " FROM range(65536)",
+)
 def gen_random_edges(spark, sf_dir):
     return generate.random_edges(spark, 1 << 20, 1 << 16)
 
@@ -440,7 +482,17 @@ def pagerank_gap(spark, sf_dir):
     return _rounded(ranking.pagerank(graph_of(spark, sf_dir), 10))
 
 
-@query("pagerank_converge")
+def _converge_sql(name: str, steps: int, epsilon: float) -> str:
+    """The first of so many scores whose total change is small enough."""
+    body = _rank_sql(name, steps, False)
+    for i in range(steps):
+        body += f", c{i} AS (SELECT {i + 1} AS i, sum(abs(CAST(a.s AS DOUBLE) - b.s)) AS c FROM p{i + 1} AS a JOIN p{i} AS b USING (v))"
+    changes = " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(steps))
+    scores = " UNION ALL ".join(f"SELECT {i + 1} AS i, v, s FROM p{i + 1}" for i in range(steps))
+    return body + f", c AS ({changes}) SELECT v, round(CAST(s AS DOUBLE), 9) AS score FROM ({scores}) AS p WHERE i = (SELECT min(i) FROM c WHERE c < {epsilon})"
+
+
+@query("pagerank_converge", _converge_sql("part_supp", 24, 1e-4))
 def pagerank_converge(spark, sf_dir):
     """Until the total change is below 1e-4."""
     return _rounded(ranking.pagerank(graph_of(spark, sf_dir, "part_supp"), 100, epsilon=1e-4))
@@ -462,14 +514,14 @@ def pagerank_push(spark, sf_dir):
 
 @query("pagerank_pull", _rank_sql("part_supp", 10, True) + " SELECT v, round(CAST(s AS DOUBLE), 6) AS score FROM p10")
 def pagerank_pull(spark, sf_dir):
-    """The same recurrence, read from the side of the targets."""
-    return ranking.pagerank_push(graph_of(spark, sf_dir, "part_supp"), 10).withColumn("score", F.round("score", 6))
+    """The same recurrence, read by the targets."""
+    return ranking.pagerank_pull(graph_of(spark, sf_dir, "part_supp"), 10).withColumn("score", F.round("score", 6))
 
 
 # ---- components
 
 
-def _wcc_sql(name: str, rounds: int = 24) -> str:
+def _wcc_sql(name: str, rounds: int = 48) -> str:
     """Labels fall to the least of the neighbourhood, then jump to their label's label, a fixed number of times."""
     body = ", b AS (SELECT DISTINCT src, dst FROM e UNION SELECT dst, src FROM e UNION SELECT v, v FROM v), l0 AS (SELECT v, v AS c FROM v)"
     for i in range(rounds):
@@ -549,9 +601,10 @@ def prefix_sum(spark, sf_dir):
     return dispatch.prefix_sums(access.out_degrees(g), "v", "degree", top=g.vertex_count).select("v", "sum_before")
 
 
-@query("group_index", _deg("out", "part_supp") + " SELECT v, CAST(sum(degree) OVER (ORDER BY v) AS BIGINT) AS \"end\" FROM d WHERE v < 100")
+@query("group_index", _deg("out", "part_supp") + " SELECT v, CAST(sum(degree) OVER (ORDER BY v) AS BIGINT) AS \"end\" FROM d")
 def group_index(spark, sf_dir):
-    return dispatch.group_index(edges_of(spark, sf_dir, "part_supp").select(F.col("src").alias("v")), "v", 100)
+    g = graph_of(spark, sf_dir, "part_supp")
+    return dispatch.group_index(g.edges.select(F.col("src").alias("v")), "v", g.vertex_count)
 
 
 # ---- partitions and batches
@@ -573,24 +626,45 @@ def dispatch_shift(spark, sf_dir):
     return dispatch.dispatch_by_shift(edges_of(spark, sf_dir), 1000, 8)
 
 
-def _batches(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("batch", F.col("src") % 8)
+#: Edges of a batch; they arrive in the order of the tables' keys.
+BATCH = 1 << 16
+
+
+def _batches(spark, sf_dir, name: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/{GRAPHS[name][0]}.parquet")
+    if name == "cust_order":
+        return dispatch.arrival_batches(table.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")), ["dst"], BATCH)
+    arrival = ["src", "l_linenumber"]
+    return dispatch.arrival_batches(table.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), "l_linenumber"), arrival, BATCH)
 
 
 @query(
     "dispatch_sort",
-    _with("cust_order", ", s AS (SELECT src % 8 AS batch, 'out' AS side, src, dst FROM e UNION ALL SELECT src % 8, 'in', dst, src FROM e)")
+    _with("cust_order", f", n AS (SELECT src, dst, (row_number() OVER (ORDER BY dst) - 1) // {BATCH} AS batch FROM e), s AS (SELECT batch, 'out' AS side, src, dst FROM n UNION ALL SELECT batch, 'in', dst, src FROM n)")
     + " SELECT batch, side, row_number() OVER (PARTITION BY batch, side ORDER BY src, dst) - 1 AS place, src, dst FROM s",
 )
 def dispatch_sort(spark, sf_dir):
-    return dispatch.sorted_batches(_batches(edges_of(spark, sf_dir, "cust_order")))
+    return dispatch.sorted_batches(_batches(spark, sf_dir, "cust_order"))
+
+
+_GREEDY = f"""WITH RECURSIVE n AS (SELECT l_orderkey AS src, l_partkey AS dst, (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1) // {BATCH} AS batch FROM lineitem),
+  w AS (SELECT CAST(ceil((max(greatest(src, dst)) + 1) / 64.0) AS BIGINT) AS width FROM n),
+  c AS (SELECT batch, src // width AS p, count(*) AS n FROM n, w GROUP BY 1, 2),
+  a AS (SELECT b.batch, r.range AS p, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT batch FROM c) AS b CROSS JOIN range(64) AS r LEFT JOIN c ON c.batch = b.batch AND c.p = r.range),
+  g(batch, p, loads) AS (
+    SELECT DISTINCT batch, CAST(0 AS BIGINT), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0] FROM a
+    UNION ALL
+    SELECT g.batch, g.p + 1, list_transform(g.loads, lambda x, i: CASE WHEN i = list_position(g.loads, list_min(g.loads)) THEN x + a.n ELSE x END)
+    FROM g JOIN a ON a.batch = g.batch AND a.p = g.p
+  ), l AS (SELECT CAST(list_max(loads) AS DOUBLE) AS top, CAST(list_sum(loads) AS DOUBLE) AS total FROM g WHERE p = 64)
+  SELECT round(avg(top / (total / 8)), 9) AS ratio, round(avg(total / top / 8), 9) AS utilisation FROM l"""
 
 
-@query("work_imbalance")
+@query("work_imbalance", _GREEDY)
 def work_imbalance(spark, sf_dir):
-    """Mean over batches; the greedy schedule has no SQL, tests hold it against a heap."""
+    """Mean over batches of the greedy schedule."""
     g = graph_of(spark, sf_dir)
-    rows = dispatch.work_imbalance(_batches(g.edges), max(1, -(-g.vertex_count // 64)), 64, 8)
+    rows = dispatch.work_imbalance(_batches(spark, sf_dir, "order_part"), max(1, -(-g.vertex_count // 64)), 64, 8)
     return rows.agg(F.round(F.avg("ratio"), 9).alias("ratio"), F.round(F.avg("utilisation"), 9).alias("utilisation"))
 
 
@@ -747,10 +821,10 @@ def pivot_mean(spark, sf_dir):
 
 @query(
     "pivot_list",
-    "SELECT o_custkey, " + ", ".join(f"coalesce(string_agg(CAST(CASE WHEN o_orderstatus = '{s}' THEN o_orderkey END AS VARCHAR), ',' ORDER BY o_orderkey), '') AS \"{s}\"" for s in "FOP") + " FROM orders WHERE o_custkey < 200 GROUP BY o_custkey",
+    "SELECT o_custkey, " + ", ".join(f"coalesce(string_agg(CAST(CASE WHEN o_orderstatus = '{s}' THEN o_orderkey END AS VARCHAR), ',' ORDER BY o_orderkey), '') AS \"{s}\"" for s in "FOP") + " FROM orders GROUP BY o_custkey",
 )
 def pivot_list(spark, sf_dir):
-    rows = results.pivot(_runs(spark, sf_dir).where("o_custkey < 200"), "o_custkey", "o_orderstatus", "o_orderkey", list("FOP"), "list")
+    rows = results.pivot(_runs(spark, sf_dir), "o_custkey", "o_orderstatus", "o_orderkey", list("FOP"), "list")
     return rows.select("o_custkey", *(F.array_join(s, ",").alias(s) for s in "FOP"))
 
 
@@ -814,11 +888,11 @@ def agg_frames(spark, sf_dir):
 @query("latest_files")
 def latest_files(spark, sf_dir):
     """Which of the tables' files are newest; the names only, as times differ from machine to machine."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir}/lineitem.parquet")
-    return results.latest_files(files, 5).select("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(sf_dir)
+    return results.latest_files(files, 5).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
 
 
-@query("ingest_throughput")
+@query("ingest_throughput", _with() + " SELECT range AS version, (SELECT count(*) FROM e) AS edges FROM range(4)")
 def ingest_throughput(spark, sf_dir):
     """Edges of four versions that were written one after another."""
     work = Workspace(spark, "ingest")

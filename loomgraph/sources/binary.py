@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pa_fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -118,6 +119,39 @@ class _Writer(DataSourceArrowWriter):
                 fs.delete_file(m.path)
 
 
+class _WordWriter(_Writer):
+    """Writes one column of words; parts are named by their place in the order of the table's partitions."""
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
+        fs, root = _open(self.path)
+        fs.create_dir(root)
+        context = TaskContext.get()
+        name = f"{root}/.part-{context.partitionId():06d}-{uuid.uuid4().hex}.bin"
+        with fs.open_output_stream(name) as f:
+            for b in batches:
+                f.write(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).astype(self.kind).tobytes())
+        return _Written(name)
+
+
+class WordBinary(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "wordbin"
+
+    def schema(self) -> str:
+        return "value long"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _WordWriter(dict(self.options), overwrite)
+
+
+def write_words(words: DataFrame, path: str, bits: int = 32) -> None:
+    """One long column as raw little-endian words, in the order of the partitions and of the rows in each."""
+    ship(words.sparkSession)
+    words.sparkSession.dataSource.register(WordBinary)
+    words.write.format("wordbin").option("bits", bits).mode("overwrite").save(path)
+
+
 class EdgeBinary(DataSource):
     @classmethod
     def name(cls) -> str:

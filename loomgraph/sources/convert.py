@@ -6,11 +6,12 @@ import struct
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from loomgraph.functions.scalar import low_bits
+from loomgraph.functions.scalar import int_div, low_bits
 from loomgraph.operators.access import out_degrees
 from loomgraph.operators.dispatch import prefix_sums
 from loomgraph.operators.graph import Graph
 from loomgraph.plans.workspace import Workspace
+from loomgraph.sources.binary import write_words
 
 
 def parse_edges(lines: DataFrame, skip_header: int = 0, line: str | None = None) -> DataFrame:
@@ -78,15 +79,39 @@ def csr_adjacency(edges: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(bases), "part").select(F.col("src").alias("v"), (F.col("base") + F.col("at")).alias("place"), "dst")
 
 
+def write_csr(graph: Graph, path: str) -> None:
+    """The graph as ``path/index`` and ``path/adj``, of any size: each file is its folder's parts in the order of their names.
+
+    Both are written as 32-bit words at known places (see csr_index_bytes and adjacency_bytes), sorted by ranges of places.
+    """
+    spark, n, edges = graph.spark, graph.vertex_count, graph.edge_count
+    offsets = -(-n // 16)
+    head = -(-(32 + 8 * offsets) // 64) * 16  # words before the degrees
+    low, high = (lambda c: low_bits(c, 32)), (lambda c: F.shiftrightunsigned(c, 32))
+    words = lambda place, value: [F.struct((place + k).alias("place"), half(value).alias("value")) for k, half in enumerate((low, high))]
+    constants = spark.createDataFrame([(0, 0), (2, 0), (4, n), (6, edges)], "p long, x long")
+    starts = csr_offsets(graph, 16).select((8 + 2 * int_div(F.col("v"), 16)).alias("p"), F.col("first").alias("x"))
+    wide = constants.unionByName(starts).select(F.explode(F.array(*words(F.col("p"), F.col("x")))).alias("w")).select("w.place", "w.value")
+    degrees = out_degrees(graph).select((F.col("v") + head).alias("place"), F.col("degree").alias("value"))
+    zeros = lambda a, b: spark.range(a, b).select(F.col("id").alias("place"), F.lit(0).cast("long").alias("value"))
+    index = wide.unionByName(degrees).unionByName(zeros(8 + 2 * offsets, head)).unionByName(zeros(head + n, head + 16 * offsets))
+    ends = spark.range(edges, -(-edges // 1024) * 1024).select(F.col("id").alias("place"), F.lit(0xFFFFFFFF).alias("value"))
+    adjacency = csr_adjacency(graph.edges).select("place", F.col("dst").alias("value")).unionByName(ends)
+    for name, table in (("index", index), ("adj", adjacency)):
+        write_words(table.repartitionByRange("place").sortWithinPartitions("place").select("value"), f"{path}/{name}")
+
+
 def csr_index_bytes(degrees: list[int], edges: int) -> bytes:
-    """The index file of a small graph: four 64-bit words, an offset for every 16 vertices, padding to 64 bytes, 32-bit degrees."""
+    """The index file of a small graph: four 64-bit words, an offset for every 16 vertices, padding to 64 bytes, 32-bit
+    degrees, 64 bytes for every 16 vertices."""
     offsets, total = [], 0
     for v, d in enumerate(degrees):
         if v % 16 == 0:
             offsets.append(total)
         total += d
     head = struct.pack(f"<4Q{len(offsets)}Q", 0, 0, len(degrees), edges, *offsets)
-    return head + b"\0" * (-len(head) % 64) + struct.pack(f"<{len(degrees)}I", *degrees)
+    body = struct.pack(f"<{len(degrees)}I", *degrees)
+    return head + b"\0" * (-len(head) % 64) + body.ljust(64 * len(offsets), b"\0")
 
 
 def adjacency_bytes(targets: list[int]) -> bytes:

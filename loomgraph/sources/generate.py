@@ -39,9 +39,10 @@ def self_loops(spark: SparkSession, n: int, times: int) -> DataFrame:
 
 
 def random_edges(spark: SparkSession, vertices: int, edges: int, seed: int = 0) -> DataFrame:
-    """Both ends uniform."""
-    end = lambda s: F.floor(F.rand(s) * vertices).cast("long")
-    return spark.range(edges).select(end(seed).alias("src"), end(seed + 1).alias("dst"))
+    """Both ends uniform: the first 15 hex digits of the MD5 of "seed:edge:end" modulo the vertices, the same everywhere."""
+    digest = lambda k: F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"), F.lit(f":{k}")).cast("binary"))
+    end = lambda k: F.conv(F.substring(digest(k), 1, 15), 16, 10).cast("long") % vertices
+    return spark.range(edges).select(end(0).alias("src"), end(1).alias("dst"))
 
 
 def permutation(spark: SparkSession, first: int, end: int, seed: int = 0) -> DataFrame:

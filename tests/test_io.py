@@ -5,10 +5,11 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import results
+from loomgraph.operators import access, results
 from loomgraph.operators.graph import Graph
+from loomgraph.plans import workspace
 from loomgraph.sources import binary, convert, generate
-from loomgraph.streaming.ingest import EdgeStore, visible_prefix
+from loomgraph.streaming.ingest import ConcurrentChange, EdgeStore, visible_prefix
 
 PAIRS = [(0, 1), (5, 2), (2, 2), (9, 0), (5, 1)]
 
@@ -73,7 +74,7 @@ def test_converters(spark):
     assert offsets[0] == (1, 0) and offsets[5] == (2, 2) and offsets[9] == (1, 4) and len(offsets) == 10
     assert [r["dst"] for r in convert.csr_adjacency(edges(spark)).orderBy("place").collect()] == [1, 2, 1, 2, 0]
     index = convert.csr_index_bytes([offsets[v][0] for v in range(10)], 5)
-    assert index[:32] == struct.pack("<4Q", 0, 0, 10, 5) and len(index) == 64 + 40
+    assert index[:32] == struct.pack("<4Q", 0, 0, 10, 5) and len(index) == 64 + 64
     assert len(convert.adjacency_bytes([1, 2])) == 4096
 
 
@@ -83,6 +84,35 @@ def test_generators(spark):
     assert sorted(x["v"] for x in generate.permutation(spark, 3, 30).collect()) == list(range(3, 30))
 
 
+@pytest.mark.parametrize("n", [1, 16, 2500])
+def test_csr_files(spark, tmp_path, n):
+    pairs = [(i * 7 % n, i * 13 % n) for i in range(3 * n)]
+    g = Graph(edges(spark, pairs).repartition(3), n)
+    convert.write_csr(g, str(tmp_path / "csr"))
+    whole = lambda name: b"".join(p.read_bytes() for p in sorted((tmp_path / "csr" / name).glob("part-*")))
+    degrees = [0] * n
+    for s, _ in pairs:
+        degrees[s] += 1
+    assert whole("index") == convert.csr_index_bytes(degrees, len(pairs))
+    assert whole("adj") == convert.adjacency_bytes([d for _, d in sorted(pairs)])
+
+
+def test_placed_neighbors(spark):
+    pairs = [(5, i % 7) for i in range(300)] + [(i, 1) for i in range(10)]
+    got = sorted(map(tuple, access.placed_neighbors(Graph(edges(spark, pairs).repartition(5))).collect()))
+    want = []
+    for v in range(10):
+        want += [(v, k, d) for k, d in enumerate(sorted(d for s, d in pairs if s == v))]
+    assert got == want
+
+
+def three_versions(spark, path):
+    store = EdgeStore(spark, path, width=64)
+    for v in range(3):
+        store.append(edges(spark, [(100 * v + j, j) for j in range(10)]), v)
+    return store
+
+
 def test_stream(spark, tmp_path):
     for i in range(3):
         edges(spark, [(100 * i + j, j) for j in range(10)]).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
@@ -95,8 +125,64 @@ def test_stream(spark, tmp_path):
     store.append(edges(spark, [(1, 1)]), 2)  # delivered again: replaces its version
     assert store.snapshot().edge_count == 21
     assert store.compact(1) and store.snapshot().edge_count == 21
-    assert rows(store.versions()) == [(1, 20), (2, 1)]
+    assert rows(store.versions()) == [(0, 10), (1, 10), (2, 1)] and store.snapshot(0).edge_count == 10
     assert not store.compact(2, alpha=0.5)
+    assert rows(store.scan(100, 103, version=1)) == [(100, 0), (101, 1), (102, 2)] and store.scan(100, 103, version=0).isEmpty()
+
+
+def test_redelivery_after_compaction(spark, tmp_path):
+    store = three_versions(spark, str(tmp_path / "table"))
+    assert store.compact(2)
+    for v in (2, 0):
+        store.append(edges(spark, [(100 * v + j, j) for j in range(10)]), v)  # the newest and an older batch come again
+    assert rows(store.snapshot().edges) == sorted((100 * v + j, j) for v in range(3) for j in range(10))
+    assert rows(store.versions()) == [(0, 10), (1, 10), (2, 10)]
+
+
+def test_failures_between_the_steps(spark, tmp_path, monkeypatch):
+    store = three_versions(spark, str(tmp_path / "table"))
+    before = store.snapshot()
+
+    def fail(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:  # the merged run is written, its manifest is not
+        m.setattr(EdgeStore, "_publish", fail)
+        with pytest.raises(OSError):
+            store.compact(2)
+        with pytest.raises(OSError):
+            store.append(edges(spark, [(1, 1)]), 3)
+    assert store.snapshot().edge_count == 30
+    assert store.vacuum() == 2 and store.snapshot().edge_count == 30
+    assert store.compact(2) and store.snapshot().edge_count == 30
+    assert before.edges.count() == 30  # a reader of the manifest before
+    store.append(edges(spark, [(1, 1)]), 3)
+    assert store.vacuum(1) == 3 and store.snapshot().edge_count == 31
+    with monkeypatch.context() as m:  # two writers that saw the same manifest
+        m.setattr(EdgeStore, "_numbers", lambda self, n=store._numbers()[-1:]: n)
+        store.append(edges(spark, [(2, 2)]), 4)
+        with pytest.raises(ConcurrentChange):
+            store.append(edges(spark, [(3, 3)]), 5)
+    assert store.snapshot().edge_count == 32
+    empty = EdgeStore(spark, str(tmp_path / "none"))
+    assert empty.snapshot().edges.isEmpty() and empty.versions().isEmpty() and not empty.compact(3)
+    empty.append(edges(spark, []), 0)
+    assert empty.snapshot().edges.isEmpty()
+
+
+def test_intermediate_tables_need_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})()
+
+    with pytest.raises(RuntimeError):
+        workspace.checkpoint_root(Session())
 
 
 def test_visible_prefix(spark):
