@@ -8,8 +8,9 @@ follows from the threshold, so that a pair just at it is missed with probability
    the band keys. Rows with equal sets form a class, represented by its smallest id.
 2. In each bucket all are compared in full with its pivot, the smallest representative: one pair for each
    member, and one for pairs that meet in several buckets. A pivot's members are dealt to parts, which are read in order.
-3. What is linked forms components. Buckets that lie in one component are done; in the few others, what is
-   far from the pivot is compared block by block, as far as the distances to the pivot leave a link possible.
+3. What is linked forms components. Buckets that lie in one component are done; in the others, what is
+   far from the pivot is compared block by block, as far as the distances to the pivot leave a link possible,
+   once for all open buckets of a pivot.
    Nothing is joined by buckets alone, so chains of half-similar texts stay apart.
 4. Components of all links, spread to the classes' members, are the result.
 
@@ -38,7 +39,7 @@ MISS = 1e-4
 BLOCK = 256
 BLOCK_SHINGLES = 2_000_000
 #: Members of a hot pivot in one part.
-PART = 1000
+PART = 250
 #: Rows of open buckets go to every task up to this number; beyond it they are joined by shuffling.
 BROADCAST_BUCKETS = 20_000
 #: Numbers from here on stand for classes without an id.
@@ -239,45 +240,42 @@ def _sets(docs: DataFrame, classes: DataFrame, suspects: DataFrame, words: int,
     return named.unionByName(again.join(of, "digest").groupBy("rep").agg(F.first("shingles").alias("shingles")))
 
 
-def _across(keys: DataFrame, measured: DataFrame, parts: DataFrame, sets: DataFrame, sizes: DataFrame, numerator: int, denominator: int, work: Workspace) -> DataFrame:
-    """Spanning forests (u, v) of what else is linked inside buckets that the pivots do not settle.
+def _open(keys: DataFrame, measured: DataFrame, parts: DataFrame, sizes: DataFrame, reach: float, work: Workspace) -> tuple[DataFrame, bool]:
+    """(pivot, rep, near, n, crossing) of the members, but the pivot, of buckets that are not settled, and whether few are.
 
-    A bucket is open if its members, of which there are three or more, are not all connected yet. Those far from the
-    pivot are compared with each other, and with those near to it unless the distances to the pivot rule a link out
-    (the distance is a metric: a link of near and far needs a far one within twice the threshold's distance). Equal
-    buckets of several bands are compared once.
+    A bucket is open if its members, of which there are three or more, are not all connected yet. The open buckets
+    of one pivot (mostly the same texts in several bands) count as one. A crossing member is far from the pivot, in another component, and within reach of
+    what is near the pivot: the distance is a metric, so beyond twice the threshold's there is no link to it.
     """
-    # Ids with several texts have no single distance.
-    reach = 2 * (1 - numerator / denominator) + 1e-9 if sizes.where("sets > 1").isEmpty() else 2.0
     of = parts.select(F.col("v").alias("rep"), "component")
     labelled = keys.join(of, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    state = labelled.groupBy("key").agg(
-        F.count("*").alias("members"), F.min("rep").alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"),
-        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"),
-    )
-    open_ = state.where("members > 2 and low < high").groupBy("members", "pivot", "sum").agg(F.min("key").alias("key")).select("key", "pivot")
-    open_ = work.save(open_)
-    few = open_.count()
-    if not few:
-        return open_.select(F.col("key").alias("u"), F.col("pivot").alias("v")).limit(0)
-    light = lambda df: F.broadcast(df) if few <= BROADCAST_BUCKETS else df
-    members = labelled.join(light(open_), "key").where("rep <> pivot")
+    state = labelled.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = work.save(state.where("members > 2 and low < high").select("key", "pivot"))
+    few = open_.count() <= BROADCAST_BUCKETS
+    members = labelled.join(F.broadcast(open_) if few else open_, "key").where("rep <> pivot").select("pivot", "rep", "component").distinct()
     members = members.join(measured.select(F.col("u").alias("rep"), F.col("v").alias("pivot"), "near", "distance"), ["rep", "pivot"])
-    home = of.select(F.col("rep").alias("pivot"), F.col("component").alias("pivot_component"))
-    members = members.join(home, "pivot", "left").withColumn("other", F.col("component") != F.coalesce("pivot_component", "pivot"))
-    members = work.save(members.join(sizes, "rep").select("key", "rep", "near", "n", (~F.col("near") & F.col("other") & (F.col("distance") <= reach)).alias("crossing")))
+    home = of.select(F.col("rep").alias("pivot"), F.col("component").alias("home"))
+    members = members.join(home, "pivot", "left").withColumn("other", F.col("component") != F.coalesce("home", "pivot")).join(sizes, "rep")
+    crossing = ~F.col("near") & F.col("other") & (F.col("distance") <= reach)
+    return work.save(members.select("pivot", "rep", "near", "n", crossing.alias("crossing"))), few
+
+
+def _in_blocks(members: DataFrame, few: bool, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Spanning forests (u, v) of what is linked inside open buckets besides their pivots: what is far from the pivot
+    is compared with each other, and what is crossing with what is near the pivot."""
     blocks_of = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("long")
-    counts = members.groupBy("key").agg(blocks_of(F.col("near")).alias("nears"), blocks_of(~F.col("near")).alias("fars"), blocks_of(F.col("crossing")).alias("crossings"))
-    # The pivot is near to itself, but has been compared with all.
+    counts = members.groupBy("pivot").agg(blocks_of(F.col("near")).alias("nears"), blocks_of(~F.col("near")).alias("fars"), blocks_of(F.col("crossing")).alias("crossings"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
     unit = lambda kind, first, second, side: F.struct(F.lit(kind).alias("kind"), first.alias("first"), second.alias("second"), side.cast("long").alias("side"))
     block = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.col(n), F.lit(1)))
     none = F.array().cast("array<struct<kind: string, first: long, second: long, side: long>>")
     for_near = F.transform(upto(F.col("crossings")), lambda j: unit("mixed", j, block("nears"), F.lit(1)))
     among = F.transform(upto(F.col("fars")), lambda j: unit("far", F.least(block("fars"), j), F.greatest(block("fars"), j), block("fars")))
+    among = F.when(F.col("far") > 1, among).otherwise(none)
     crossing = F.when(F.col("crossing"), F.transform(upto(F.col("nears")), lambda j: unit("mixed", block("crossings"), j, F.lit(0)))).otherwise(none)
-    units = members.join(light(counts), "key").select("key", "rep", F.explode(F.when(F.col("near"), for_near).otherwise(F.concat(among, crossing))).alias("unit"))
-    units = units.select("key", "rep", "unit.*").join(sets, "rep")
+    counts = counts.join(members.groupBy("pivot").agg(F.count_if(~F.col("near")).alias("far")), "pivot")
+    units = members.join(F.broadcast(counts) if few else counts, "pivot").select("pivot", "rep", F.explode(F.when(F.col("near"), for_near).otherwise(F.concat(among, crossing))).alias("unit"))
+    units = units.select("pivot", "rep", "unit.*").join(sets, "rep")
 
     def compare(pdf):
         import pandas as pd  # here, so that the workers that hash do without
@@ -288,8 +286,8 @@ def _across(keys: DataFrame, measured: DataFrame, parts: DataFrame, sets: DataFr
         )
         return pd.DataFrame(forest, columns=["u", "v"], dtype="int64")
 
-    bound_batches(work.spark)
-    return units.groupBy("key", "kind", "first", "second").applyInPandas(compare, "u long, v long").where("u <> v")
+    bound_batches(members.sparkSession)
+    return units.groupBy("pivot", "kind", "first", "second").applyInPandas(compare, "u long, v long").where("u <> v")
 
 
 def near_duplicates(
@@ -317,11 +315,13 @@ def near_duplicates(
     suspects = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
     sets = work.save(_sets(docs, classes, work.save(suspects), words, id_col, text_col).distinct())
     measured = work.save(_measured(pairs, sets, numerator, denominator), "uncompressed")
-    near = measured.where("near").select("u", "v")
-    parts = star_components(near, work)
-    sizes = sets.groupBy("rep").agg(F.count("*").alias("sets"), F.sum(F.floor(F.length("shingles") / 8)).alias("n"))
-    more = work.save(_across(shared.select("key", "rep"), measured, parts, sets, sizes, numerator, denominator, work), "uncompressed")
-    if not more.isEmpty():
+    parts = star_components(measured.where("near").select("u", "v"), work)
+    sizes = work.save(sets.groupBy("rep").agg(F.count("*").alias("sets"), F.sum(F.floor(F.length("shingles") / 8)).alias("n")))
+    # Ids with several texts have no single distance.
+    reach = 2 * (1 - numerator / denominator) + 1e-9 if sizes.where("sets > 1").isEmpty() else 2.0
+    members, few = _open(shared.select("key", "rep"), measured, parts, sizes, reach, work)
+    if not members.isEmpty():
+        more = _in_blocks(members, few, sets, numerator, denominator)
         parts = star_components(parts.select(F.col("v").alias("u"), F.col("component").alias("v")).unionByName(more), work)
 
     labels = classes.join(parts.withColumnRenamed("v", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
