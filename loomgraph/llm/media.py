@@ -5,7 +5,8 @@ the validator of that format walks the structure and returns the length, or noth
 at offset 0 that spans all bytes gives the type, whatever was declared; valid structures further in are
 carved, outermost first.
 
-Null bytes count as empty, of type application/octet-stream. Equal bytes get equal results. The formats
+Null bytes count as empty, of type application/octet-stream, with an empty payload. Equal bytes get equal results; repeated
+rows stay, an empty table gives no rows, other columns are ignored. A PDF ends with its last %%EOF before another PDF begins. The formats
 written here, 8-bit mono WAV and 8-bit greyscale PNM, hold the payload as samples without loss.
 """
 
@@ -145,10 +146,12 @@ def _gzip(d: bytes, at: int) -> int:
 def _pdf(d: bytes, at: int) -> int:
     if not d[at + 5 : at + 6].isdigit():
         return 0
-    end, following = d.find(b"%%EOF", at), d.find(b"%PDF-", at + 5)
-    if end < 0 or 0 <= following < end or d.find(b"startxref", at, end) < 0:
+    following = d.find(b"%PDF-", at + 5)
+    end = d.rfind(b"%%EOF", at, following if following >= 0 else len(d))
+    if end < 0 or d.rfind(b"startxref", at, end) < 0:
         return 0
-    return end + 5 - at
+    end += 5
+    return end + (2 if d[end : end + 2] == b"\r\n" else d[end : end + 1] in (b"\r", b"\n")) - at
 
 
 def _zip(d: bytes, at: int) -> int:
@@ -230,12 +233,14 @@ def _automaton() -> ahocorasick.Automaton:
 
 def structures(data: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of all valid structures, outermost first and none inside another."""
-    found = []
+    found, reach = [], 0
     for end, i in _automaton().iter(data.decode("latin-1")):
         magic, place, kind, check = FORMATS[i]
         at = end + 1 - len(magic) - place
-        if at >= 0 and (place != 8 or data[at : at + 4] == b"RIFF") and (n := check(data, at)):
+        if at >= reach and (place != 8 or data[at : at + 4] == b"RIFF") and (n := check(data, at)):
             found.append((at, n, kind))
+            if (at, n) != (0, len(data)):
+                reach = at + n  # what is inside of what is carved need not be looked at
     return sorted(found, key=lambda x: (x[0], -x[1]))
 
 
@@ -330,8 +335,9 @@ def media_digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def make():
         def one(key, n, media, declared):
+            media = media or b""
             kind, corrected, carved = sniff(media, declared)
-            payload = STORE[kind][1](media)
+            payload = STORE[kind][1](media) if kind in STORE else b""
             feature = f"{kind};corrected={int(corrected)};embedded=" + "+".join(f"{k}@{a}:{m}" for a, m, k in carved)
             yield key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature
 

@@ -7,9 +7,10 @@ wherever it begins in decoded bytes. Bytes that are not UTF-8 are read as Latin-
 cycles). The worklist runs until no layer is left. Every finding is mapped back, layer by layer, to the
 code points of the original text that carry it.
 
-Null text counts as empty and has no findings. Texts are scanned whole. A compressed layer that unpacks
-to more than ``MAX_LAYER`` bytes is a bomb and stays packed; nothing else is limited. Repeated rows get
-equal results; other columns are ignored.
+Null text counts as empty and has no findings. Texts are scanned whole. Compressed data that unpacks to more
+than ``MAX_LAYER`` bytes is unpacked in a stream and scanned in windows that overlap by ``OVERLAP`` bytes, so
+memory stays bounded; a finding or a nested layer of more than that which crosses windows is seen in parts.
+Repeated rows get equal results, an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from loomgraph.llm.arrow import map_rows
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 1 << 26
+WINDOW = 1 << 24
+OVERLAP = 1 << 20
 
 # The three kinds of secrets, with the least length of what must be long.
 _ASSIGN = re.compile(
@@ -127,18 +130,41 @@ def _escapes(run: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _inflate(raw: bytes, start: int) -> tuple[bytes, int] | None:
-    """What the data at ``start`` unpacks to, and where it ends."""
+def _inflate(raw: bytes, start: int) -> tuple[bytes | None, int] | None:
+    """What the data at ``start`` unpacks to, None if that is large, and where it ends."""
     worker = zlib.decompressobj(47)
     try:
         out = worker.decompress(memoryview(raw)[start:], MAX_LAYER)
     except zlib.error:
         return None
-    return (out, len(raw) - len(worker.unused_data)) if worker.eof else None
-
-
-def _packed(raw: bytes) -> list[tuple[int, int, bytes]]:
-    """start, end and content of all compressed data; what follows without a gap belongs together."""
+    if worker.eof:
+        return out, len(raw) - len(worker.unused_data)
+    if len(out) < MAX_LAYER:
+        return None  # cut off
+    end = -1
+    for _, end in _windows(raw, start):
+        pass
+    return (None, end) if end >= 0 else None
+
+
+def _windows(raw: bytes, start: int) -> Iterator[tuple[bytes, int]]:
+    """Overlapping windows of what the data at ``start`` unpacks to, and with the last one, where the data ends (else -1)."""
+    worker, feed, tail = zlib.decompressobj(47), memoryview(raw)[start:], b""
+    while not worker.eof:
+        try:
+            out = worker.decompress(feed, WINDOW)
+        except zlib.error:
+            return
+        feed = worker.unconsumed_tail
+        if not out and not feed and not worker.eof:
+            return
+        window = tail + out
+        yield window, len(raw) - len(worker.unused_data) if worker.eof else -1
+        tail = window[-OVERLAP:]
+
+
+def _packed(raw: bytes) -> list[tuple[int, int, bytes | None]]:
+    """start, end and content of all compressed data, None where it is large; what follows without a gap belongs together."""
     found: list[tuple[int, int, list[bytes], int]] = []
     at = 0
     while m := _HEAD.search(raw, at):
@@ -146,13 +172,16 @@ def _packed(raw: bytes) -> list[tuple[int, int, bytes]]:
         if (inflated := _inflate(raw, start)) is None:
             continue
         out, at = inflated
+        if out is None:
+            found.append((start, at, [], MAX_LAYER))
+            continue
         if found and found[-1][1] == start and found[-1][3] + len(out) <= MAX_LAYER:
             first, _, parts, size = found.pop()
             parts.append(out)
             found.append((first, at, parts, size + len(out)))
         else:
             found.append((start, at, [out], len(out)))
-    return [(a, b, b"".join(parts)) for a, b, parts, _ in found]
+    return [(a, b, b"".join(parts) if parts else None) for a, b, parts, _ in found]
 
 
 Mapping = Callable[[int, int], tuple[int, int]]
@@ -165,6 +194,12 @@ def _unpacked(raw: bytes, place: Mapping) -> Iterator[tuple[str, Mapping]]:
         raw, place = work.pop()
         for a, b, inner in _packed(raw):
             at = place(a, b)
+            if inner is None:
+                whole = lambda a, b, at=at: at
+                for window, _ in _windows(raw, a):
+                    yield _text(window)[0], whole
+                    yield from _unpacked(window, whole)
+                continue
             key = (at, hashlib.blake2b(inner, digest_size=16).digest())
             if key not in known:  # data that unpacks to itself ends here
                 known.add(key)
@@ -239,11 +274,15 @@ def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:
     base = scan_layer(text, raw)
     spans = set(base)
     seen: set[bytes] = set()
-    work = [(layer, (mapping,)) for layer, mapping in _unwrapped(text, raw)]
-    if work:
-        seen.add(hashlib.blake2b(raw, digest_size=16).digest())
+    # The innermost open layer's layers come next, one at a time.
+    work: list[tuple[Iterator[tuple[str, Mapping]], tuple[Mapping, ...]]] = [(_unwrapped(text, raw), ())]
     while work:
-        layer, mappings = work.pop()
+        layers, mappings = work[-1]
+        following = next(layers, None)
+        if following is None:
+            work.pop()
+            continue
+        layer, mappings = following[0], (*mappings, following[1])
         raw = layer.encode("utf-8", "surrogatepass")
         # Equal content at another place is another finding, but inside its own chain it is a cycle.
         start, end = 0, len(layer)
@@ -257,7 +296,7 @@ def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:
             for mapping in reversed(mappings):
                 a, b = mapping(a, b)
             spans.add((a, kind, b))
-        work += [(inner, (*mappings, mapping)) for inner, mapping in _unwrapped(layer, raw)]
+        work.append((_unwrapped(layer, raw), mappings))
     return base, sorted(spans)
 
 
