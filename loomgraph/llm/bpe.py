@@ -7,7 +7,8 @@ that test depends on the two tokens only and is memoised. Where the longest toke
 shorter prefixes are tried, and where none fits the last token is taken back and its end is barred.
 Every end is barred at most once, hence linear time.
 
-Null and empty texts have no tokens. Texts may be of any length; nothing is cut.
+Null and empty texts have no tokens. Texts may be of any length; nothing is cut. Repeated rows get equal
+results, a null id stays, an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import base64
 import functools
 import hashlib
 import re
-import zlib
 from collections.abc import Callable
 
 import ahocorasick
@@ -27,25 +27,46 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.llm.arrow import map_rows
 
-#: Pieces kept by a worker with their ids; beyond it the table starts anew.
-CACHE_PIECES = 400_000
+#: Bytes that a worker's table of pieces and their ids may take, as counted by Known; beyond it the table starts anew.
+KNOWN_BYTES = 80_000_000
+#: Longer pieces are not kept.
+LONGEST_KNOWN = 128
+_ENTRY = 160
 
 # The tokenizer's splitting rule in the syntax of the standard library. The two agree where no character
 # is of a class that they see differently: see ODD.
-_PLAIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_PLAIN_OF = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ–-…€]")
+PLAIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+PLAIN_OF = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ–-…€]")
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:
     """text -> the pattern's matches, by the faster of two engines that agree on the text."""
     exact = regex.compile(pattern).findall
-    if pattern != _PLAIN_OF:
+    if pattern != PLAIN_OF:
         return exact
-    plain, odd = _PLAIN.findall, _ODD.search
+    plain, odd = PLAIN.findall, ODD.search
     return lambda text: exact(text) if odd(text) else plain(text)
 
 
+class Known(dict):
+    """piece -> its ids as bytes, made by ``encode`` on demand and kept within ``KNOWN_BYTES``."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode, self.size = encode, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.encode(piece)
+        if len(piece) <= LONGEST_KNOWN:
+            self.size += _ENTRY + 4 * len(piece) + len(found)
+            if self.size > KNOWN_BYTES:
+                self.clear()
+                self.size = _ENTRY + 4 * len(piece) + len(found)
+            self[piece] = found
+        return found
+
+
 class ByteBPE:
     """The codec of one vocabulary; ``ranks`` maps token bytes to ids, lower ids merge first."""
 
@@ -156,16 +177,7 @@ class ByteBPE:
         """piece -> its ids as little-endian unsigned 32-bit integers, filled on demand; one a process."""
         if self._table is not None:
             return self._table
-        codec = self
-
-        class Table(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if len(self) >= CACHE_PIECES:
-                    self.clear()
-                found = self[piece] = np.array(codec.encode_piece(piece.encode()), "<u4").tobytes()
-                return found
-
-        self._table = Table()
+        self._table = Known(lambda piece: np.array(self.encode_piece(piece.encode()), "<u4").tobytes())
         return self._table
 
     def encode(self, text: str | None) -> list[int]:
@@ -214,7 +226,3 @@ def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: st
         names, spark_type, types = ["ids", "decoded"], "ids binary, decoded binary", [pa.binary(), pa.binary()]
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return map_rows(rows, make, f"{id_col} long, {spark_type}", pa.schema(list(zip([id_col, *names], [pa.int64(), *types]))))
-
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids) & 0xFFFFFFFF

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from loomgraph.llm.arrow import map_rows
-from loomgraph.llm.bpe import _ODD, _PLAIN, CACHE_PIECES
+from loomgraph.llm.bpe import ODD, PLAIN, Known
 from loomgraph.plans.workspace import Workspace
 
 BINS = 256
@@ -55,15 +55,8 @@ def _tokenizer(path: str):
     piecewise = type(tok.pre_tokenizer).__name__ == "ByteLevel" and tok.normalizer is None and not tok.pre_tokenizer.add_prefix_space
     merge, visible = tok.model.tokenize, visible_bytes()
 
-    class Pieces(dict):
-        def __missing__(self, piece: str) -> bytes:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            shown = piece.encode().decode("latin-1").translate(visible)
-            found = self[piece] = as_bytes([t.id for t in merge(shown)])
-            return found
-
-    known, split, odd = Pieces(), _PLAIN.findall, _ODD.search
+    known = Known(lambda piece: as_bytes([t.id for t in merge(piece.encode().decode("latin-1").translate(visible))]))
+    split, odd = PLAIN.findall, ODD.search
 
     def ids_of(text: str) -> bytes:
         if piecewise and not odd(text) and not any(s in text for s in specials):
