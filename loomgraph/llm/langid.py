@@ -15,7 +15,8 @@ of the sample, however large the corpus.
 
 Null texts and texts without a letter get ``und``, score 0, rejected. If nothing is labelled, all others get
 ``und``, score 0, not rejected.
-Equal texts get equal results. Other columns are never inputs of a prediction.
+Equal texts get equal results, so repeated rows do; an empty table gives no rows. Ties go to the first language by
+name. Other columns are never inputs of a prediction, whatever their names.
 """
 
 from __future__ import annotations

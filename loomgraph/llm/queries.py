@@ -13,12 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes in sequences of 2048 tokens; null and empty texts are an end id alone."""
     from loomgraph.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the two thirds that are not held out; ``und`` without a letter."""
     from loomgraph.llm.langid import hash_fold, identify, sample_labelled, train
 
     docs = table(spark, sf_dir, "documents")
@@ -103,12 +105,14 @@ FROM captures c LEFT JOIN judged j USING (page_id)
 
 
 def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near-duplicates (three words, 0.85); those without words are alone."""
     from loomgraph.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, numerator=85, denominator=100)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and of what they decode to; null texts count as empty."""
     from loomgraph.llm.bpe import encode_digests
 
     docs = table(spark, sf_dir, "documents")
@@ -125,18 +129,21 @@ def op7_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at cosine 0.9 and its component; null, zero and non-finite vectors are alone."""
     from loomgraph.llm.multi_index import near_duplicate_vectors
 
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
 def op9_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text; null and empty pages have an empty one."""
     from loomgraph.llm.wrapper import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the findings in every text itself, and the spans of those of all layers; null counts as empty."""
     from loomgraph.llm.secrets import KINDS, scan_documents
 
     found = scan_documents(table(spark, sf_dir, "documents"))

@@ -11,7 +11,8 @@ equally long ones an allow list, then the first list by name. No entry in force:
 
 Entries with a null field, and actions other than add and remove, are void; of several on one day a
 removal counts. Captures with a null URL, none that parses, or a null date match nothing. Repeated
-captures are judged one by one; other columns of the captures are ignored.
+captures are judged one by one; other columns of the captures are ignored. Without captures there are no rows,
+without entries nothing is blocked.
 """
 
 from __future__ import annotations
