@@ -21,9 +21,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomgraph.plans.workspace import Workspace
 
-#: Lists of up to this many intervals go to every task; larger ones are joined by shuffling, with hot keys salted.
+#: Lists of up to this many intervals go to every task; larger ones are joined by shuffling, with hot keys in parts.
 BROADCAST_INTERVALS = 10_000
-SALTS = 16
+#: A key is hot that more captures have than this, and than a ten-thousandth of what such keys have in all.
+HOT_ROWS = 100_000
 
 
 def url_host(url: Column) -> Column:
@@ -54,6 +55,13 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     )
 
 
+def _hot_keys(keys: DataFrame, work: Workspace) -> DataFrame:
+    """(key, _parts) of the hot keys, at most 10,000: in how many parts their rows go."""
+    many = work.save(keys.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_ROWS))
+    limit = max(HOT_ROWS, (many.agg(F.sum("rows")).first()[0] or 0) // 10_000)
+    return many.where(F.col("rows") > limit).select("key", F.ceil(F.col("rows") / limit).cast("long").alias("_parts"))
+
+
 def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "fetched") -> DataFrame:
     """id, url, fetched, n_rules, rules (all in force, sorted), decided_by, blocked of every capture."""
     spark = captures.sparkSession
@@ -68,8 +76,11 @@ def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_
     if intervals.count() <= BROADCAST_INTERVALS:
         pairs = keys.join(F.broadcast(intervals), "key")
     else:
-        salted = intervals.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        pairs = keys.withColumn("_salt", F.pmod("_row", F.lit(SALTS)).cast("int")).join(salted, ["key", "_salt"])
+        hot = F.broadcast(_hot_keys(keys, work))
+        parts = F.coalesce("_parts", F.lit(1).cast("long"))
+        dealt = keys.join(hot, "key", "left").withColumn("_part", F.pmod(F.xxhash64("_row"), parts)).drop("_parts")
+        spread = intervals.join(hot, "key", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+        pairs = dealt.join(spread, ["key", "_part"])
     active = pairs.where((F.col("valid_from") <= F.col("_day")) & (F.col("valid_to").isNull() | (F.col("_day") < F.col("valid_to"))))
     rule = F.concat_ws("|", "list", "key", F.date_format("valid_from", "yyyy-MM-dd"))
     order = F.struct(-F.length("pattern"), ~F.col("allow"), "list", "key")
