@@ -12,8 +12,10 @@ written here, 8-bit mono WAV and 8-bit greyscale PNM, hold the payload as sample
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -55,7 +57,7 @@ def _png(d: bytes, at: int) -> int:
     first = True
     while p + 12 <= len(d):
         n, name = int.from_bytes(d[p : p + 4], "big"), d[p + 4 : p + 8]
-        if p + 12 + n > len(d) or first != (name == b"IHDR"):
+        if p + 12 + n > len(d) or first != (name == b"IHDR") or first and n != 13:
             return 0
         if zlib.crc32(d[p + 4 : p + 8 + n]) != int.from_bytes(d[p + 8 + n : p + 12 + n], "big"):
             return 0
@@ -154,10 +156,18 @@ def _pdf(d: bytes, at: int) -> int:
     return end + (2 if d[end : end + 2] == b"\r\n" else d[end : end + 1] in (b"\r", b"\n")) - at
 
 
+@functools.lru_cache(1)
+def _zip_ends(d: bytes) -> list[int]:
+    """Where end records begin, found once for all entries."""
+    return [m.start() for m in re.finditer(rb"PK\x05\x06", d)]
+
+
 def _zip(d: bytes, at: int) -> int:
-    end = d.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(d):
+    ends = _zip_ends(d)
+    i = bisect.bisect_left(ends, at)
+    if i == len(ends) or ends[i] + 22 > len(d):
         return 0
+    end = ends[i]
     entries, size, start, note = struct.unpack_from("<HIIH", d, end + 10)
     if at + start + size != end or entries and d[at + start : at + start + 4] != b"PK\x01\x02":
         return 0
@@ -177,16 +187,82 @@ def _ogg(d: bytes, at: int) -> int:
     return p - at
 
 
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    table = []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = x << 1 ^ polynomial if x >> bits - 1 else x << 1
+        table.append(x & (1 << bits) - 1)
+    return table
+
+
+# The polynomials of frame headers and of whole frames.
+_CRC8, _CRC16 = _crc_table(0x107, 8), _crc_table(0x18005, 16)
+
+
+def _flac_header(d: bytes, p: int) -> tuple[int, int]:
+    """(length, samples) of the frame header at ``p``, zeros if there is none."""
+    if p + 6 > len(d) or d[p] != 0xFF or d[p + 1] & 0xFE != 0xF8 or d[p + 3] & 1:
+        return 0, 0
+    block, rate, ones = d[p + 2] >> 4, d[p + 2] & 15, 8 - (~d[p + 4] & 0xFF).bit_length()
+    if block == 0 or rate == 15 or d[p + 3] >> 4 > 10 or ones in (1, 8):
+        return 0, 0
+    q = p + 4 + max(1, ones)
+    wide, samples = (block == 6) + 2 * (block == 7), 192 if block == 1 else 576 << block - 2 if block < 6 else 256 << max(0, block - 8)
+    if wide:
+        samples = int.from_bytes(d[q : q + wide], "big") + 1
+    q += wide + (rate == 12) + 2 * (rate in (13, 14))
+    crc = 0
+    for x in d[p:q]:
+        crc = _CRC8[crc ^ x]
+    return (q + 1 - p, samples) if q < len(d) and d[q] == crc else (0, 0)
+
+
 def _flac(d: bytes, at: int) -> int:
-    fine = at + 42 <= len(d) and d[at + 4] & 0x7F == 0 and d[at + 5 : at + 8] == b"\0\0\x22"
-    return len(d) - at if fine else 0
+    """Frame by frame, each confirmed by its checksum; the last ends at the end of the bytes, or where its checksum is right first."""
+    if at + 42 > len(d) or d[at + 4] & 0x7F or d[at + 5 : at + 8] != b"\0\0\x22":
+        return 0
+    facts = int.from_bytes(d[at + 18 : at + 26], "big")
+    channels, bits, total = (facts >> 41 & 7) + 1, (facts >> 36 & 31) + 1, facts & (1 << 36) - 1
+    p, last = at + 4, 0
+    while not last:
+        if p + 4 > len(d) or d[p] & 0x7F == 127:
+            return 0
+        last, p = d[p] & 0x80, p + 4 + int.from_bytes(d[p + 1 : p + 4], "big")
+    done = 0
+    while p < len(d):
+        head, samples = _flac_header(d, p)
+        if not head:
+            return 0
+        done += samples
+        final = 0 < total <= done
+        crc, first, following = 0, 0, 0
+        # No frame is longer than its samples as they are, with room for the headers of its channels.
+        for q in range(p, min(len(d), p + head + 2 + channels * (16 + samples * (bits + 1) // 8))):
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ d[q]]
+            if not crc and q >= p + head + 2:
+                first = first or q + 1
+                if q + 1 == len(d):
+                    return q + 1 - at if final or not total else 0
+                if not final and _flac_header(d, q + 1)[0]:
+                    following = q + 1
+                    break
+        if not following:
+            return first - at if first and (final or not total) else 0
+        p = following
+    return p - at if p == len(d) and not total else 0
 
 
 def _mp4(d: bytes, at: int) -> int:
     p = at
     while p + 8 <= len(d) and d[p + 4 : p + 8].isalnum():
-        n = int.from_bytes(d[p : p + 4], "big")
-        if n < 8 or p + n > len(d):
+        n, least = int.from_bytes(d[p : p + 4], "big"), 8
+        if n == 1:  # the size stands behind the type
+            n, least = int.from_bytes(d[p + 8 : p + 16], "big"), 16
+        elif n == 0:  # up to the end
+            n = len(d) - p
+        if n < least or p + n > len(d):
             return 0
         p += n
     return p - at

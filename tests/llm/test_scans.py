@@ -43,9 +43,10 @@ CAPTURES = [
 ]
 
 
-@pytest.mark.parametrize("broadcast", [0, 10_000])
-def test_url_lists(spark, monkeypatch, broadcast):
+@pytest.mark.parametrize("broadcast, hot", [(0, 100_000), (0, 1), (10_000, 100_000)])
+def test_url_lists(spark, monkeypatch, broadcast, hot):
     monkeypatch.setattr(url_lists, "BROADCAST_INTERVALS", broadcast)
+    monkeypatch.setattr(url_lists, "HOT_ROWS", hot)
     out = url_lists.judge_captures(captures(spark, CAPTURES), lists(spark, ENTRIES)).collect()
     assert len(out) == len(CAPTURES)
     by = {r["page_id"]: r for r in out}
@@ -85,7 +86,30 @@ JPEG = b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\4xy12\xff\0\x34\xff\xd9"
 BMP = b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"\0\0\0\0"
 OGG = b"OggS\0\4" + b"\0" * 20 + b"\1\3abc"
 MP4 = struct.pack(">I4s4sI", 16, b"ftyp", b"isom", 0) + struct.pack(">I4s", 8, b"mdat")
+
+
+def flac(samples, block=100, count=True):
+    """8-bit mono, each block as it is."""
+
+    def crc(data, polynomial, bits):
+        rest = int.from_bytes(data, "big") << bits
+        for i in range(rest.bit_length() - 1, bits - 1, -1):
+            if rest >> i & 1:
+                rest ^= polynomial << i - bits
+        return rest.to_bytes(bits // 8, "big")
+
+    facts = 8000 << 44 | 7 << 36 | (len(samples) if count else 0)
+    out = b"fLaC\x80\0\0\x22" + struct.pack(">HH", block, block) + b"\0" * 6 + facts.to_bytes(8, "big") + hashlib.md5(samples).digest()
+    for k, at in enumerate(range(0, len(samples), block)):
+        part = samples[at : at + block]
+        head = b"\xff\xf8\x70\x02" + chr(k).encode() + struct.pack(">H", len(part) - 1)
+        frame = head + crc(head, 0x107, 8) + b"\x02" + part
+        out += frame + crc(frame, 0x18005, 16)
+    return out
+
+
 FILES = {
+    "audio/flac": flac(bytes(range(250)) * 2),
     "image/png": png(), "image/gif": GIF, "image/jpeg": JPEG, "image/bmp": BMP, "audio/ogg": OGG, "video/mp4": MP4, "application/zip": zipped(),
     "application/gzip": gzip.compress(b"x" * 100), "application/pdf": b"%PDF-1.4\nx\nstartxref\n0\n%%EOF", "audio/wav": media.wav_bytes(b"q" * 64), "image/x-portable-graymap": media.pgm_bytes(b"q" * 64),
 }
@@ -246,3 +270,24 @@ def test_null_media_and_saved_pdf(spark):
     saved = one + b"2 0 obj\nendobj\nstartxref\n60\n%%EOF\r\n"
     assert media.sniff(saved, "application/pdf") == ("application/pdf", False, [])
     assert [c[:2] for c in media.sniff(b"x" + saved + one, None)[2]] == [(1, len(saved)), (1 + len(saved), len(one))]
+
+
+def test_flac_frames():
+    rng = random.Random(3)
+    samples = rng.randbytes(20_001)
+    for count in (True, False):
+        data = flac(samples, 160, count)
+        assert media.sniff(data, "audio/flac") == ("audio/flac", False, [])
+        wav = media.wav_bytes(b"q" * 64)
+        assert [c[0::2] for c in media.sniff(b"x" + data + wav, None)[2]] == [(1, "audio/flac"), (1 + len(data), "audio/wav")]
+    data = flac(samples, 160)
+    assert media.sniff(data[:-1], None)[0] == media.sniff(data[:9000] + b"?" + data[9001:], None)[0] == media.UNKNOWN
+    assert media.sniff(flac(b""), None)[0] == "audio/flac"
+
+
+def test_sizes_of_mp4_boxes_and_many_entries():
+    head = struct.pack(">I4s4sI", 16, b"ftyp", b"isom", 0)
+    for box in (struct.pack(">I4sQ", 1, b"mdat", 19) + b"abc", struct.pack(">I4s", 0, b"mdat") + b"abc"):
+        assert media.sniff(head + box, "video/mp4") == ("video/mp4", False, [])
+    assert media.sniff(head + struct.pack(">I4sQ", 1, b"mdat", 20) + b"abc", None)[0] == media.UNKNOWN
+    assert media.sniff(b"PK\3\4" * 300_000, None) == (media.UNKNOWN, False, [])  # each without a look through the rest
