@@ -7,7 +7,9 @@ descent on a bounded sample of labelled rows: ``SAMPLE_ROWS`` distinct texts and
 characters in expectation, shared out evenly among the languages. A fifth of the sample is left out of
 training and calibrates the result: a temperature for the scores, and two limits for rejection (a score,
 and a share of known subwords), each passed by all but ``FALSE_REJECTS`` of that fifth. Known are the 3-
-and 4-grams of the training texts, by 32-bit hashes and not by buckets, which other languages hit as well.
+and 4-grams of the training texts, by 32-bit hashes and not by buckets, which other languages hit as well. The
+share of a short text varies more, so it must lie below the limit by twice its standard error at the limit, which
+vanishes with length; one unknown character makes up to seven subwords unknown at once.
 
 As the model is linear, prediction adds up one row of class scores for each subword of the whole text.
 The table that tasks receive has ``BUCKETS`` rows, and the known hashes are at most two for each character
@@ -37,6 +39,8 @@ SAMPLE_CHARS = 20_000_000
 FALSE_REJECTS = 0.0005
 MAX_LANGUAGES = 500
 _PART = 1 << 17
+#: The 3- and 4-grams that hold one character.
+_TOUCHED = 7
 _LETTER = re.compile(r"[^\W\d_]")
 _STEP = np.uint32(0x9E3779B1)
 
@@ -81,8 +85,8 @@ class Model:
         self.languages, self.table, self.known = languages, table, known
         self.temperature, self.least_score, self.least_known = temperature, least_score, least_known
 
-    def sums(self, text: str) -> tuple[np.ndarray, float]:
-        """The averaged class scores, and the share of known subwords (1 if none is long enough)."""
+    def sums(self, text: str) -> tuple[np.ndarray, float, int]:
+        """The averaged class scores, the share of known subwords (1 if none is long enough) and their number."""
         hashes = _hashes(text)
         ids = _buckets(hashes)
         total = np.zeros(self.table.shape[1])
@@ -90,19 +94,20 @@ class Model:
             total += self.table[ids[at : at + _PART]].sum(axis=0, dtype=np.float64)
         size = sum(map(len, hashes[1:]))
         known = sum(int((self.known[np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)] == h).sum()) for h in hashes[1:]) if len(self.known) else 0
-        return total / max(1, len(ids)), known / size if size else 1.0
+        return total / max(1, len(ids)), known / size if size else 1.0, size
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not has_letter(text):
             return "und", 0.0, True
         if not self.languages:
             return "und", 0.0, False
-        mean, known = self.sums(text)
+        mean, known, size = self.sums(text)
+        error = (self.least_known * (1 - self.least_known) * _TOUCHED / max(1, size)) ** 0.5
         z = mean / self.temperature
         p = np.exp(z - z.max())
         best = int(p.argmax())
         score = float(p[best] / p.sum())
-        return self.languages[best], score, score < self.least_score or known < self.least_known
+        return self.languages[best], score, score < self.least_score or known < self.least_known - 2 * error
 
 
 def train(texts: list[str], labels: list[str], seed: int = 1) -> Model:
@@ -152,7 +157,7 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     rows = [i for i in (np.flatnonzero(held) if held.any() else np.arange(len(texts))) if has_letter(texts[i])]
     if not rows:
         return model
-    sums, shares = map(np.array, zip(*(model.sums(texts[i]) for i in rows)))
+    sums, shares, _ = map(np.array, zip(*(model.sums(texts[i]) for i in rows)))
     truth = y[rows]
 
     def scores(t: float) -> np.ndarray:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph.llm import langid
@@ -53,6 +54,16 @@ def test_other_languages_are_rejected():
     assert sum(model.predict(text(["".join(rng.choice(letters) for _ in range(6)) for _ in range(100)]))[2] for _ in range(50)) >= 48
 
 
+def test_short_texts_have_room_for_chance():
+    """The same share of unknown subwords is judged by the length of the text."""
+    texts = [t for t, _ in sample(300, 1)]
+    known = np.unique(np.concatenate([h for t in texts for h in langid._hashes(t)[1:]]))
+    model = langid.Model(["a"], np.zeros((langid.BUCKETS, 1), np.float32), known, least_known=0.95)
+    short, foreign = "the water and the qx light", "qxzj wvkq jjxz qqwv"
+    assert 0.5 < model.sums(short)[1] < 0.95 and not model.predict(short)[2]
+    assert model.predict(" ".join([short] * 200))[2] and model.predict(foreign)[2]
+
+
 def test_edges():
     model = langid.train([t for t, _ in sample(50, 1)], [k for _, k in sample(50, 1)])
     for t in (None, "", " ", "12345 !?", "²"):
