@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import access, components, dispatch, keyed, ranking, statistics, traversal, triangles
 from loomgraph.operators.graph import Graph, reverse, symmetrize, undirected
+from loomgraph.plans.workspace import Workspace
 from loomgraph.sources import generate
 
 
@@ -110,6 +111,35 @@ def test_bfs_properties(spark, random_pairs):
     assert {r["v"]: r["level"] for r in many.where("root = 3").collect()} == {v: n for v, n in down.items() if n}
 
 
+def test_long_chain_writes_few_tables(spark, monkeypatch):
+    saved = []
+    save = Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, *a: saved.append(1) or save(self, *a))
+    ids = list(range(150))
+    random.Random(2).shuffle(ids)
+    g = graph(spark, [(b, a) for a, b in zip(ids, ids[1:])])
+    assert as_dict(traversal.bfs_reverse(g, ids[0])) == {v: i + 1 for i, v in enumerate(ids)}
+    assert len(saved) <= 2
+
+
+@pytest.mark.parametrize("narrow, ahead, kept", [(0, 0, 0), (3, 4, 2), (6, 100, 10), (1000, 10_000, 100_000)])
+def test_bfs_by_driver_and_joins(spark, monkeypatch, narrow, ahead, kept):
+    """A tail, a clique-like middle and a tail: the ways of expanding a level change in both directions."""
+    for name, value in (("NARROW", narrow), ("AHEAD", ahead), ("KEPT", kept)):
+        monkeypatch.setattr(traversal, name, value)
+    rng = random.Random(7)
+    middle = [(rng.randrange(8, 40), rng.randrange(8, 40)) for _ in range(100)]
+    pairs = [(i, i + 1) for i in range(8)] + middle + [(20, 40)] + [(i, i + 1) for i in range(40, 47)] + [(44, 2), (9, 9)]
+    levels, front = {0: 1}, [0]
+    while front:
+        front = sorted({b for a, b in pairs if a in front} - levels.keys())
+        levels |= {v: max(levels.values()) + 1 for v in front}
+    g = graph(spark, pairs, 50)
+    assert as_dict(traversal.bfs(g, 0)) == {v: levels.get(v, 0) for v in range(50)}
+    assert as_dict(traversal.bfs(g, 0, bottom_up=False, max_levels=9)) == {v: n if (n := levels.get(v, 0)) <= 9 else 0 for v in range(50)}
+    assert set(as_dict(traversal.bfs(g, 77)).values()) == {0}
+
+
 def test_components_against_union_find(spark, random_pairs):
     parent = list(range(60))
 
