@@ -194,3 +194,31 @@ def test_large_trees_and_hot_hosts(spark, monkeypatch):
     monkeypatch.setattr(wrapper, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(wrapper, "HOT_ROWS", 20)
     assert sorted(map(tuple, wrapper.extract_text(pages).collect())) == broadcast
+
+
+@pytest.mark.parametrize("name, value", [("SKELETONS", 1), ("SKELETONS", 32), ("SLOTS", 5), ("SLOTS", 5000)])
+def test_slots_beyond_the_template_are_judged(spark, monkeypatch, name, value):
+    """The boxes and their texts stand in layouts that are rarer than those the template starts from, or beyond its size."""
+    monkeypatch.setattr(wrapper, name, value)
+    rows, want = [], {}
+    for k in range(60):
+        story = f"Story {k} of " + " ".join(f"w{(k * 31 + n) % 997}" for n in range(60))
+        note = f"A note that only page {k} has, " + " ".join(f"n{(k * 17 + n) % 991}" for n in range(12))
+        box = "<div class='x7'><div class='y'><span>Call us on nine lines</span></div></div>" if k >= 36 else ""
+        own = f"<section class='z'><p>{note}</p></section>" if k % 3 == 0 else ""
+        rows.append((k, f"http://h.example/{k}", f"<html><body><div class='c'><p>{story}</p></div>{own}{box}</body></html>"))
+        want[k] = story + ("\n" + note if own else "")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrapper.extract_text(pages, lists=False).collect()} == want
+
+
+def test_path_slots_hold_what_has_no_partner():
+    t = wrapper.Template(["", "body", "article"], [[1], [2], []])
+    to, own, paths = t.trace("(body(article,div.x(p,ul),div.x(p)))")
+    assert to[3] == to[6] and to[4] == to[7] != to[5] and all(own)
+    assert paths[to[4]][:2] == (to[3], "p") and paths[to[3]][:2] == (1, "div.x")
+    t.extend([(key, *paths[key]) for key in (to[3], to[4])])
+    known, own = t.align("(body(article,div.x(p,ul),div.x(p)))")
+    assert known[3] == known[6] == known[5] and known[4] == known[7] and own[4] and not own[5]
+    t.verdicts = "UUUUU"
+    assert wrapper.Template.read(t.write()).align("(body(article,div.x(p,ul),div.x(p)))") == (known, own)
