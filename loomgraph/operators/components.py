@@ -5,17 +5,24 @@ neighbours to its smallest neighbour; in the small star it hands its smaller one
 joins and two minimum aggregations whose partial sums run before the shuffle, and chains shrink in
 logarithmically many rounds. A star's centre has a row for each of its neighbours on one key of the join; of
 tables beyond ``LARGE`` edges the minima are written first, so that both sides of the join are plain shuffles
-and adaptive execution can deal such a key to several tasks.
+and adaptive execution can deal such a key to several tasks. What has ``SMALL`` edges or fewer, at first or after
+some rounds, is closed by one task in bounded memory: a round is some ten stages, each with a task for every
+shuffle partition, and the driver keeps a record of all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.operators.graph import Graph
+from loomgraph.plans.shipping import ship
 from loomgraph.plans.workspace import Workspace
 
-
+#: Graphs with this many edges or fewer are closed by one task, which holds their vertices.
+SMALL = 100_000
 #: Tables with more edges than this may hold stars that are too large for a task.
 LARGE = 5_000_000
 
@@ -31,6 +38,25 @@ def _toward_minimum(pairs: DataFrame, larger: bool, keep: Workspace | None = Non
     return moved.unionByName(lowest.select("u", F.col("m").alias("v")))
 
 
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, component) of all ends of the edges (u, v), by union-find with the smaller root on top."""
+    above: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (up := above.setdefault(v, v)) != v:
+            above[v] = above[up]
+            v = up
+        return v
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns)):
+            a, b = root(u), root(v)
+            above[max(a, b)] = min(a, b)
+    if above:
+        vertices = list(above)
+        yield pa.RecordBatch.from_arrays([pa.array(vertices, pa.int64()), pa.array(map(root, vertices), pa.int64())], ["v", "component"])
+
+
 def star_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
     """(v, component) of every vertex that has an edge to another one.
 
@@ -43,6 +69,9 @@ def star_components(edges: DataFrame, workspace: Workspace) -> DataFrame:
     )
     before, size = None, current.count()
     while True:
+        if size <= SMALL:
+            ship(current.sparkSession)
+            return workspace.save(current.select("u", "v").coalesce(1).mapInArrow(_closed, "v long, component long"), "uncompressed")
         keep = workspace if size > LARGE else None
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = workspace.save(_toward_minimum(both, True, keep).where("u <> v").distinct(), "uncompressed")

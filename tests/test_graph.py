@@ -281,3 +281,22 @@ def test_statistics(spark, random_pairs):
     rows = {r["percent"]: r for r in statistics.skewness(g).collect()}
     assert rows[10]["vertices"] == top * 10 // 100 and rows[10]["edges"] == sum(degrees[: top * 10 // 100])
     assert tuple(statistics.density(graph(spark, [(0, 3)])).first()) == (4, 1, 0.25)
+
+
+@pytest.mark.parametrize("small", [0, 40, components.SMALL])
+def test_components_of_small_graphs(spark, monkeypatch, small):
+    """Rounds, one task, and rounds that end in one task agree; one task writes two tables and no round."""
+    monkeypatch.setattr(components, "SMALL", small)
+    rng = random.Random(3)
+    pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7), (None, 3), (-5, 2), (-5, 2)]
+    work = Workspace(spark, "small")
+    found = {r["v"]: r["component"] for r in components.star_components(spark.createDataFrame(pairs, "u long, v long"), work).collect()}
+    label = {v: v for p in pairs if None not in p and p[0] != p[1] for v in p}
+    for _ in label:
+        for u, v in pairs:
+            if u in label and v in label:
+                label[u] = label[v] = min(label[u], label[v])
+    assert found == label
+    if small == components.SMALL and small > len(pairs):
+        assert work.count == 2
+    assert components.star_components(spark.createDataFrame([], "u long, v long"), work).isEmpty()
